@@ -50,8 +50,8 @@ def backward(dhs: np.ndarray, kept: tuple) -> tuple[np.ndarray, np.ndarray]:
 class Adam:
     """Adam over a dict of arrays, with the gradient's norm clipped."""
 
-    def __init__(self, params: dict, rate: float, clip: float = 5.0):
-        self.params, self.rate, self.clip, self.t = params, rate, clip, 0
+    def __init__(self, params: dict, rate: float, clip: float = 5.0, decay: float = 0.0):
+        self.params, self.rate, self.clip, self.decay, self.t = params, rate, clip, decay, 0
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
@@ -63,6 +63,7 @@ class Adam:
             g = g * by
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
+            self.params[k] *= 1 - self.decay * self.rate * scale
             self.params[k] -= (self.rate * scale * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(g.dtype)
 
 
