@@ -65,7 +65,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column(1), words)
         n = np.array([len(s) for s in sets], np.int64)
-        keys, short = [np.zeros((0, bands), np.uint64)], []
+        keys, short, low = [np.zeros((0, bands), np.uint64)], [], []
         at = 0
         while at < len(sets):
             to = at + 1
@@ -79,6 +79,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 key = mix64(key ^ bits[:, :, i])
             keys.append(key)
+            low += [x.tobytes() for x in key.astype(np.uint32)]
             short += [x.tobytes() for x in (mix64(bits.reshape(to - at, SLOTS)) & np.uint64(255)).astype(np.uint8)]
             at = to
         keys = np.concatenate(keys).view(np.int64)
@@ -86,7 +87,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
         two = np.array([mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), lists, pa.array(short, pa.binary())], names=["doc_id", "n", "s1", "s2", "bands", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), lists, pa.array(short, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "s1", "s2", "bands", "sig", "low"])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +141,13 @@ def groups(docs: DataFrame) -> DataFrame:
     A null or wordless text has no shingles and stands alone; a row with a null id stands alone with null component_id
     and kept true; rows with the same id count as one document of that id's first text. No rows: no rows."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
+    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary, low binary"))
     full = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
     buckets = stored(reps.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key", "low"))
     members = stored(reps.join(buckets, "key").select("doc_id", "n", "key", "low"))
-    sigs = stored(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]))
+    sigs = stored(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", F.col("low").alias("keys")).dropDuplicates(["doc_id"]))
     own = stored(docs.join(members.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
     near = members.filter("doc_id != low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
     links = _confirmed(_likely(near, sigs), own)
@@ -180,10 +181,10 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, doc_id, n, label, sig, fine, block), those of a pair of blocks together: the likely pairs across labels."""
+    """Rows (key, i, j, doc_id, n, label, sig, fine, keys, block), those of a pair of blocks together: the likely pairs across labels."""
 
     def found(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        i, j, ids, n, label, block = (t.column(c).to_numpy() for c in ("i", "j", "doc_id", "n", "label", "block"))
+        key, i, j, ids, n, label, block = (t.column(c).to_numpy() for c in ("key", "i", "j", "doc_id", "n", "label", "block"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
         fit = (label[one][:, None] != label[two][None, :]) & (100 * np.minimum(n[one][:, None], n[two][None, :]) >= PERCENT * np.maximum(n[one][:, None], n[two][None, :]))
@@ -196,6 +197,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = (1 << 23) // of.shape[1]
             keep = np.concatenate([np.zeros(0, bool)] + [(of[x[k : k + step]] == of[y[k : k + step]]).sum(axis=1) >= least for k in range(0, len(x), step)])
             x, y = x[keep], y[keep]
+        # a pair is told by the first band that it shares: in that bucket it is here too, or was checked against the smallest id
+        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint32).reshape(-1, SLOTS // ROWS)
+        equal = keys[x] == keys[y]
+        told = keys[x, equal.argmax(axis=1)] == np.uint32(int(key[0]) & 0xFFFFFFFF)
+        x, y = x[told], y[told]
         a, b = ids[x], ids[y]
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -236,7 +242,7 @@ def _cross(rest: DataFrame, sigs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rest.join(sigs, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "label", "sig", "fine", "block")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "label", "sig", "fine", "keys", "block")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long").distinct()
 
 
