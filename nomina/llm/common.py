@@ -71,6 +71,17 @@ def unit_hash_sql(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
+def sampled(rows: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, _h) of the `limit` distinct ids of rows with the smallest hash.
+
+    The hash first thins the ids to about twice the limit, so that what tasks send to the driver is bounded too."""
+    ids = rows.select("doc_id").distinct().withColumn("_h", F.xxhash64("doc_id"))
+    n = ids.count()
+    if n > 4 * limit:
+        ids = ids.filter(F.col("_h") < int(2**64 * (2 * limit / n)) - 2**63)
+    return ids.orderBy("_h", "doc_id").limit(limit)
+
+
 def octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A string column's bytes, its n+1 offsets into them and which rows are null (those have no bytes)."""
     if isinstance(column, pa.ChunkedArray):

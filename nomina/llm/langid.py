@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomina.llm import gru
-from nomina.llm.common import octets, table
+from nomina.llm.common import octets, sampled, table
 
 #: Most labelled documents that the network is fitted on: those of the smallest hash of the id.
 TRAIN_DOCS = 3000
@@ -122,8 +122,10 @@ class Scorer:
 def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model | None:
     """A model from docs' (doc_id, text, lang) where crc32(doc_id) mod 4 isn't 2, lang isn't null and text isn't empty."""
     rows = docs.filter(~_held(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = rows.select("text", "lang", F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(limit).collect()
-    return train([r.text.encode() for r in rows], [r.lang for r in rows])
+    ids = sampled(rows, limit)  # at most `limit` ids
+    found = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").collect()
+    found = sorted(found, key=lambda r: (r._h, r.doc_id, r.lang, r.text))[:limit]
+    return train([r.text.encode() for r in found], [r.lang for r in found])
 
 
 def _held(doc_id):

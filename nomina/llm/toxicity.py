@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nomina.llm import gru
-from nomina.llm.common import table, texts
+from nomina.llm.common import sampled, table, texts
 
 #: Most labelled documents of each label that the network is fitted on: those of the smallest hash of the id.
 TRAIN_DOCS = 2000
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model |
     known = labels.filter(~_held(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = []
     for y in (0, 1):
-        ids = known.filter(F.col("toxic") == y).withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(limit)
+        ids = sampled(known.filter(F.col("toxic") == y), limit)
         found = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "_h", "doc_id")  # `limit` ids
         rows += [(r.text.encode(), y) for r in sorted(found.collect(), key=lambda r: (r._h, r.doc_id, r.text))[:limit]]
     return train(rows)
