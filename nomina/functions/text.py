@@ -17,6 +17,11 @@ VOWEL = f"[{vocab.VOWELS}]"
 NAME_TOKEN = r"[\w&&[^\d_]][\w'’.\-]*"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def collapse(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)\s+", " ")
 
@@ -59,7 +64,7 @@ def titlecase(x: Column) -> Column:
 
     def piece(run: Column) -> Column:
         chars = F.split(run, "")
-        mapped = F.transform(chars, lambda c, i: F.when(F.length(F.when(i == 0, F.upper(c)).otherwise(F.lower(c))) == 1, F.when(i == 0, F.upper(c)).otherwise(F.lower(c))).otherwise(c))
+        mapped = F.transform(chars, lambda c, i: let(F.when(i == 0, F.upper(c)).otherwise(F.lower(c)), lambda m: F.when(F.length(m) == 1, m).otherwise(c)))
         return F.when(run.rlike(r"^\p{L}"), F.array_join(mapped, "")).otherwise(run)
 
     return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), piece), "")
@@ -110,11 +115,9 @@ def sanitize(raw: Column) -> Column:
     def step(t: Column, _: Column) -> Column:
         out = None
         for phrases in (vocab.SALUTATIONS, vocab.VALEDICTIONS, vocab.HONORIFICS):
-            n = leading(t, phrases)
-            cut = (n > 0) & (n < F.size(t))
-            rest = F.slice(t, n + 1, F.greatest(F.size(t) - n, F.lit(0)))
-            out = F.when(cut, rest) if out is None else out.when(cut, rest)
-        return out.otherwise(t)
+            rest = let(leading(t, phrases), lambda n: F.when((n > 0) & (n < F.size(t)), F.slice(t, n + 1, F.greatest(F.size(t) - n, F.lit(1)))))
+            out = rest if out is None else F.coalesce(out, rest)
+        return F.coalesce(out, t)
 
     return F.array_join(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))), toks, step), " ")
 
@@ -147,11 +150,14 @@ def flipped_name(cell: Column) -> Column:
     text = F.trim(collapse(cell))
     part = lambda n: NAME_TOKEN + r"(?:\s+" + NAME_TOKEN + rf"){{0,{n}}}"
     shape = rf"(?U)^\s*({part(2)})\s*,\s*({part(3)})\s*$"
-    surname, given = F.trim(F.regexp_extract(text, shape, 1)), F.trim(F.regexp_extract(text, shape, 2))
-    flipped = F.concat(given, F.lit(" "), surname)
-    header = lambda x: (F.size(bare_tokens(x)) > 0) & F.forall(bare_tokens(x), lambda t: t.isin(vocab.HEADER_WORDS))
-    bad = F.lower(F.rtrim(given, F.lit("."))).isin(vocab.NAME_SUFFIXES) | (org_detail(flipped) != "") | (header(surname) & header(given))
-    return F.when(text.rlike(shape) & ~bad, flipped)
+    header = lambda x: let(bare_tokens(x), lambda ts: (F.size(ts) > 0) & F.forall(ts, lambda t: t.isin(vocab.HEADER_WORDS)))
+
+    def flip(m: Column) -> Column:
+        bad = F.lower(F.rtrim(m["given"], F.lit("."))).isin(vocab.NAME_SUFFIXES) | (header(m["surname"]) & header(m["given"]))
+        return let(F.concat(m["given"], F.lit(" "), m["surname"]), lambda f: F.when(~bad & (org_detail(f) == ""), f))
+
+    parts = let(text, lambda t: F.when(t.rlike(shape), F.struct(F.trim(F.regexp_extract(t, shape, 1)).alias("surname"), F.trim(F.regexp_extract(t, shape, 2)).alias("given"))))
+    return let(parts, lambda m: F.when(m.isNotNull(), flip(m)))
 
 
 def compress_pages(pages: Column) -> Column:

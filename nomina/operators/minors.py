@@ -55,14 +55,22 @@ def column_role(header: Column) -> Column:
     return F.when(text.rlike(T.phrase_pattern(vocab.ADULT_COLUMN)), "adult").when(text.rlike(T.phrase_pattern(vocab.MINOR_COLUMN)), "minor").otherwise("")
 
 
-def bound(ctx: Column, start: Column, end: Column, as_of: int) -> tuple[Column, Column]:
-    """(adult, minor): what the label before a name and the text after it say."""
+def bound(ctx: Column, start: Column, end: Column, as_of: int) -> Column:
+    """struct(adult, minor): what the label before a name and the text after it say."""
     low = F.greatest(start - vocab.BEFORE, F.lit(0))
     before = T.normalize_context(F.substring(ctx, (low + 1).cast("int"), (start - low).cast("int")))
     after = T.normalize_context(F.substring(ctx, (end + 1).cast("int"), F.lit(vocab.AFTER)))
-    adult = before.rlike(T.label_pattern(vocab.ADULT_LABELS)) | after.rlike(_CREDENTIAL) | after.rlike(ADULT_AGE) | dob_adult(after, as_of)
-    minor = before.rlike(T.label_pattern(vocab.MINOR_LABELS)) | after.rlike(_APPOSITIVE) | dob_minor(after, as_of)
-    return adult, minor
+
+    def judge(w: Column) -> Column:
+        b, a, years = w["b"], w["a"], w["y"]
+        old = F.exists(years, lambda y: F.lit(as_of) - y > 18)
+        young = F.exists(years, lambda y: (F.lit(as_of) - y).between(0, 18))
+        adult = b.rlike(T.label_pattern(vocab.ADULT_LABELS)) | a.rlike(_CREDENTIAL) | a.rlike(ADULT_AGE) | old
+        minor = b.rlike(T.label_pattern(vocab.MINOR_LABELS)) | a.rlike(_APPOSITIVE) | young
+        return F.struct(adult.alias("adult"), minor.alias("minor"))
+
+    windows = T.let(after, lambda a: F.struct(before.alias("b"), a.alias("a"), birth_years(a, as_of).alias("y")))
+    return T.let(windows, judge)
 
 
 def inherits(ctx: Column, spans: Column, start: Column, as_of: int) -> Column:
@@ -70,30 +78,32 @@ def inherits(ctx: Column, spans: Column, start: Column, as_of: int) -> Column:
 
     def joined(sp: Column) -> Column:
         gap = T.normalize_context(F.substring(ctx, (sp["e"] + 1).cast("int"), F.greatest(start - sp["e"], F.lit(0)).cast("int")))
-        adult, minor = bound(ctx, sp["s"], sp["e"], as_of)
-        return (sp["e"] < start) & gap.rlike(_JOINED) & minor & ~adult
+        child = T.let(bound(ctx, sp["s"], sp["e"], as_of), lambda b: b["minor"] & ~b["adult"])
+        return F.when((sp["e"] < start) & gap.rlike(_JOINED), child).otherwise(F.lit(False))
 
     return F.exists(spans, joined)
 
 
 def binding(ctx: Column, spans: Column, start: Column, end: Column, signals: Column, role: Column, as_of: int) -> Column:
     """column, label, dob, relation, or the empty string."""
-    adult, minor = bound(ctx, start, end, as_of)
-    minor = minor | inherits(ctx, spans, start, as_of)
     near = T.normalize_context(T.window(ctx, start, end, 25, vocab.AFTER))
     tight = T.normalize_context(T.window(ctx, start, end, vocab.MINOR_WINDOW, vocab.MINOR_WINDOW))
     strong = F.exists(signals, lambda r: r.startswith("age:") | F.lower(r).isin(vocab.STRONG_SIGNALS))
-    return (
-        F.when(role == "adult", "")
-        .when(role == "minor", "column")
-        .when(adult & ~minor, "")
-        .when(minor, "label")
-        .when(F.size(signals) == 0, "")
-        .when(dob_minor(near, as_of) | near.rlike(MINOR_AGE), "dob")
-        .when(tight.rlike(T.phrase_pattern(vocab.RELATION_TERMS)), "relation")
-        .when(strong, "relation")
-        .otherwise("")
-    )
+
+    def judge(b: Column) -> Column:
+        return (
+            F.when(role == "adult", "")
+            .when(role == "minor", "column")
+            .when(b["minor"], "label")
+            .when(inherits(ctx, spans, start, as_of), "label")
+            .when(b["adult"], "")
+            .when(F.size(signals) == 0, "")
+            .when(dob_minor(near, as_of) | near.rlike(MINOR_AGE), "dob")
+            .when(tight.rlike(T.phrase_pattern(vocab.RELATION_TERMS)) | strong, "relation")
+            .otherwise("")
+        )
+
+    return T.let(bound(ctx, start, end, as_of), judge)
 
 
 def tier(kind: Column) -> Column:

@@ -36,12 +36,15 @@ def garbage_signals(name: Column, implausible: Column | None = None) -> Column:
 def garbage_detail(name: Column, implausible: Column | None = None, condemned: Column | None = None) -> Column:
     """Signals if one is severe or two are weak; the third way: implausible, condemned by the strict threshold (which the
     caller sets only for a model of 20,000 names or more and a span without dictionary tokens)."""
-    s = garbage_signals(name, implausible)
-    severe = F.get(s, 0).isin("empty", "no_letters", "interior_garbage_char")
-    out = F.when(F.coalesce(severe, F.lit(False)) | (F.size(s) >= 2), F.array_join(s, ","))
-    if condemned is not None:
-        out = out.when(F.array_contains(s, "implausible_ngrams") & condemned, "implausible_ngrams,not_in_gazetteer")
-    return out.otherwise("")
+
+    def judge(s: Column) -> Column:
+        severe = F.get(s, 0).isin("empty", "no_letters", "interior_garbage_char")
+        out = F.when(F.coalesce(severe, F.lit(False)) | (F.size(s) >= 2), F.array_join(s, ","))
+        if condemned is not None:
+            out = out.when(F.array_contains(s, "implausible_ngrams") & condemned, "implausible_ngrams,not_in_gazetteer")
+        return out.otherwise("")
+
+    return T.let(garbage_signals(name, implausible), judge)
 
 
 def tokens_after(ctx: Column, end: Column, limit: int) -> Column:
@@ -75,36 +78,42 @@ def terms_after(ctx: Column, end: Column) -> Column:
 
 def org_detail(name: Column, ctx: Column | None = None, end: Column | None = None, overlaps: Column | None = None) -> Column:
     """Why a name reads as an organisation, or the empty string. overlaps: upper-case entity labels over the span."""
-    toks = F.array_distinct(T.bare_tokens(name))
-    strong = F.array_sort(F.array_intersect(toks, T.words(vocab.INSTITUTIONAL)))
-    weak = F.array_sort(F.array_intersect(toks, T.words(vocab.INSTITUTIONAL_WEAK)))
     none = F.expr("cast(array() as array<string>)")
     overlaps = none if overlaps is None else F.transform(F.coalesce(overlaps, none), F.upper)
-    if ctx is None:
-        strong_after, more = F.lit(""), none
-    else:
-        after = terms_after(ctx, end)
-        strong_after = after["strong"]
-        more = F.filter(after["weak"], lambda w: ~F.array_contains(weak, w))
-        more = F.when(F.size(more) >= 2, more).otherwise(none)
-    all_weak = F.array_sort(F.array_distinct(F.concat(weak, more)))
-    proof = F.array_compact(
-        F.array(
-            F.when(F.size(all_weak) >= 3, F.lit("multiple_weak_terms")),
-            F.when(F.arrays_overlap(overlaps, T.words(["LOCATION", "GPE"])), F.lit("ner_location")),
-            F.when(name.rlike(r"(?iU)\b(?:of|for|&|and\s+sons|and\s+daughters|und)\b"), F.lit("org_construction")),
-        )
-    )
-    hard = F.array_sort(F.array_intersect(F.array_distinct(overlaps), T.words(["ORGANIZATION", "ORG", "NRP"])))
     join = lambda a: F.array_join(a, "+")
-    later = F.when(F.size(more) > 0, F.concat(F.lit("|after:"), join(F.array_sort(F.array_distinct(more))))).otherwise("")
-    return (
-        F.when(F.size(strong) > 0, F.concat(F.lit("institutional_term:"), join(strong)))
-        .when(strong_after != "", F.concat(F.lit("following_institutional_term:"), strong_after))
-        .when((F.size(all_weak) > 0) & (F.size(proof) > 0), F.concat(F.lit("weak_term:"), join(all_weak), later, F.lit("|"), join(F.array_sort(proof))))
-        .when((F.size(all_weak) > 0) & (F.size(hard) > 0), F.concat(F.lit("ner_entity:"), join(hard), F.lit("|weak_term:"), join(all_weak)))
-        .otherwise("")
-    )
+    toks = F.array_distinct(T.bare_tokens(name))
+    own = T.let(toks, lambda t: F.struct(F.array_sort(F.array_intersect(t, T.words(vocab.INSTITUTIONAL))).alias("strong"), F.array_sort(F.array_intersect(t, T.words(vocab.INSTITUTIONAL_WEAK))).alias("weak")))
+    after = F.struct(F.lit("").alias("strong"), none.alias("weak")) if ctx is None else terms_after(ctx, end)
+
+    def further(o: Column, a: Column) -> Column:
+        """Weak terms after the span that are new; they count from two on."""
+        return T.let(F.filter(a["weak"], lambda w: ~F.array_contains(o["weak"], w)), lambda m: F.when(F.size(m) >= 2, m).otherwise(none))
+
+    def proven(weak: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(F.size(weak) >= 3, F.lit("multiple_weak_terms")),
+                F.when(F.arrays_overlap(overlaps, T.words(["LOCATION", "GPE"])), F.lit("ner_location")),
+                F.when(name.rlike(r"(?iU)\b(?:of|for|&|and\s+sons|and\s+daughters|und)\b"), F.lit("org_construction")),
+            )
+        )
+
+    def judge(o: Column, a: Column, more: Column, weak: Column, proof: Column) -> Column:
+        hard = F.array_sort(F.array_intersect(F.array_distinct(overlaps), T.words(["ORGANIZATION", "ORG", "NRP"])))
+        later = F.when(F.size(more) > 0, F.concat(F.lit("|after:"), join(F.array_sort(F.array_distinct(more))))).otherwise("")
+        return (
+            F.when(F.size(o["strong"]) > 0, F.concat(F.lit("institutional_term:"), join(o["strong"])))
+            .when(a["strong"] != "", F.concat(F.lit("following_institutional_term:"), a["strong"]))
+            .when((F.size(weak) > 0) & (F.size(proof) > 0), F.concat(F.lit("weak_term:"), join(weak), later, F.lit("|"), join(proof)))
+            .when((F.size(weak) > 0) & (F.size(hard) > 0), F.concat(F.lit("ner_entity:"), join(hard), F.lit("|weak_term:"), join(weak)))
+            .otherwise("")
+        )
+
+    def with_more(o: Column, a: Column, more: Column) -> Column:
+        weak = F.array_sort(F.array_distinct(F.concat(o["weak"], more)))
+        return T.let(weak, lambda w: T.let(F.array_sort(proven(w)), lambda pr: judge(o, a, more, w, pr)))
+
+    return T.let(own, lambda o: T.let(after, lambda a: T.let(further(o, a), lambda m: with_more(o, a, m))))
 
 
 _CUES = r"\b(" + "|".join(r"\s+".join(T._escape(w) for w in c.split()) for c in sorted(vocab.CLINICAL_CUES, key=len, reverse=True)) + r")\s*[:\-]?\s*(?:of\s+)?$"
@@ -119,27 +128,31 @@ def medical_detail(name: Column, ctx: Column, start: Column, end: Column) -> Col
     raw = F.transform(T.tokens(name), lambda t: F.btrim(F.lower(t), F.lit(keep)))
     own = F.filter(raw, lambda t: t.rlike(r"(?:['’]s|s['’])$"))
     base = F.transform(own, lambda t: F.btrim(F.regexp_replace(t, r"(?:['’]s|s['’])$", ""), F.lit(vocab.STRIP)))
-    possessed = F.array_compact(eponyms(base))
     wide = (F.size(toks) == 1) | (F.size(own) > 0)
     after = F.transform(tokens_after(ctx, end, 72), _bare)
-    after = F.when(wide, after).otherwise(F.slice(after, 1, 3))
-    heads = F.filter(after, lambda t: t.isin(vocab.HEAD_NOUNS))
+    after = T.let(after, lambda a: F.when(wide, a).otherwise(F.slice(a, 1, 3)))
+    head = F.get(F.filter(after, lambda t: t.isin(vocab.HEAD_NOUNS)), 0)
     before = T.normalize_context(F.substring(ctx, (F.greatest(start - 32, F.lit(0)) + 1).cast("int"), F.least(start, F.lit(32)).cast("int")))
     cue = F.regexp_extract(before, "(?iU)" + _CUES, 1)
     near = T.normalize_context(T.window(ctx, start, end, 16, 16))
-    named = eponyms(toks)
-    any_named = F.array_compact(named)
+    quoted = F.substring(ctx, (end + 1).cast("int"), F.lit(1)).isin("'", "’")
     has = F.coalesce(ctx, F.lit("")) != ""
-    return (
-        F.when(F.size(toks) == 0, "")
-        .when(last.isin(vocab.HEAD_NOUNS), F.concat(F.lit("head_noun:"), last))
-        .when(F.size(possessed) > 0, F.concat(F.lit("possessive_eponym:"), F.get(possessed, 0)))
-        .when(F.size(heads) > 0, F.concat(F.lit("following_head_noun:"), F.get(heads, 0)))
-        .when(has & (F.size(toks) <= 2) & (cue != ""), F.concat(F.lit("clinical_cue:"), T.collapse(F.lower(cue))))
-        .when(has & (end > 0) & near.rlike(_ICD) & (F.size(any_named) > 0), F.concat(F.lit("icd_adjacent_eponym:"), F.get(any_named, 0)))
-        .when(has & (end > 0) & F.substring(ctx, (end + 1).cast("int"), F.lit(1)).isin("'", "’") & F.try_element_at(named, F.lit(-1)).isNotNull(), F.concat(F.lit("possessive_eponym:"), F.try_element_at(named, F.lit(-1))))
-        .otherwise("")
-    )
+    found = F.struct(F.get(F.array_compact(eponyms(base)), 0).alias("possessed"), eponyms(toks).alias("named"), head.alias("head"), cue.alias("cue"), F.size(toks).alias("n"), last.alias("last"))
+
+    def judge(f: Column) -> Column:
+        one, tail = F.get(F.array_compact(f["named"]), 0), F.try_element_at(f["named"], F.lit(-1))
+        return (
+            F.when(f["n"] == 0, "")
+            .when(f["last"].isin(vocab.HEAD_NOUNS), F.concat(F.lit("head_noun:"), f["last"]))
+            .when(f["possessed"].isNotNull(), F.concat(F.lit("possessive_eponym:"), f["possessed"]))
+            .when(f["head"].isNotNull(), F.concat(F.lit("following_head_noun:"), f["head"]))
+            .when(has & (f["n"] <= 2) & (f["cue"] != ""), F.concat(F.lit("clinical_cue:"), T.collapse(F.lower(f["cue"]))))
+            .when(has & (end > 0) & near.rlike(_ICD) & one.isNotNull(), F.concat(F.lit("icd_adjacent_eponym:"), one))
+            .when(has & (end > 0) & quoted & tail.isNotNull(), F.concat(F.lit("possessive_eponym:"), tail))
+            .otherwise("")
+        )
+
+    return T.let(found, judge)
 
 
 def denylist_detail(rows: DataFrame, key: list[str], name: str, denylist: DataFrame) -> DataFrame:

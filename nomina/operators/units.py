@@ -56,7 +56,8 @@ def flipped_fragments(pages: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("fragment", F.regexp_replace(F.trim("o.f"), r"[.;]+$", "")).filter("fragment != ''")
     tail = lambda p: F.when(F.col("fragment").rlike(p), F.trim(F.regexp_extract("fragment", f"(?s)^.*{p}(.*)$", 1)))
     tries = [F.col("fragment"), tail(":"), tail(" - "), tail("\t")]
-    pick = F.coalesce(*[F.when(T.flipped_name(x).isNotNull(), F.struct(T.flipped_name(x).alias("flipped"), x.alias("fragment"))) for x in tries])
+    flips = F.transform(F.array_compact(F.array(*tries)), lambda x: F.struct(T.flipped_name(x).alias("flipped"), x.alias("fragment")))
+    pick = F.get(F.filter(flips, lambda p: p["flipped"].isNotNull()), 0)
     rows = rows.withColumn("p", pick).filter("p is not null and p.flipped != p.fragment").select("file", "page_num", "n", "p.*")
     best = F.min(F.struct("n", "fragment")).alias("b")
     return rows.groupBy("file", "page_num", "flipped").agg(best).select("file", "page_num", "flipped", "b.fragment", "b.n")
