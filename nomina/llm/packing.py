@@ -174,7 +174,15 @@ def pack(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> li
     left = [nodes]
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * nodes + 1000))
 
-    def go(counts: np.ndarray, done: list, n: int) -> None:
+    def patterns(done: tuple | None) -> list:
+        found = []
+        while done:
+            done, last = done
+            found.append(last)
+        return found
+
+    def go(counts: np.ndarray, done: tuple | None, n: int) -> None:
+        """done: the sequences so far as nested pairs, so that a deep search holds each of them once."""
         nonlocal best, most
         if most == goal or left[0] <= 0:
             return
@@ -182,25 +190,28 @@ def pack(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> li
         present = np.flatnonzero(counts)
         if not len(present):
             if n < most:
-                best, most = done, n
+                best, most = patterns(done), n
             return
         if n + lower_bound(counts, capacity) >= most:
             return
         rest = best_fit(counts, capacity)
         if n + used(rest) < most:
-            best, most = done + rest, n + used(rest)
+            best, most = patterns(done) + rest, n + used(rest)
             if most == goal:
                 return
+        del rest
         largest = int(present[-1])
         own = counts.copy()
         own[largest] -= 1
-        for _, filling in completions(own, largest, capacity):
+        tries = completions(own, largest, capacity)
+        del own
+        for _, filling in tries:
             need = np.bincount((largest, *filling), minlength=len(counts))
             times = int((counts[need > 0] // need[need > 0]).min())
-            go(counts - times * need, done + [(times, (largest, *filling))], n + times)
+            go(counts - times * need, (done, (times, (largest, *filling))), n + times)
 
     if most > goal:
-        go(counts, [], 0)
+        go(counts, None, 0)
     return best
 
 
