@@ -7,9 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomina import vocab
 from nomina.functions import text as T
-from nomina.operators import minors, names, report, scoring, spans, suppression, units
+from nomina.operators import names, report, scoring, spans, suppression, units
+from nomina.oracles import oracle_sql
 from nomina.plans import scan
 from nomina.sources import files
 
@@ -55,12 +55,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("line", F.regexp_replace(F.regexp_replace("line", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+$", ""))
 
 
-_LINES_SQL = r"""lines AS (
-  SELECT doc_id, (i - 1)::INTEGER AS line_no, regexp_replace(regexp_replace(t[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS line
-  FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents))
-)"""
-
-
 def _people(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in PEOPLE], "token string")
 
@@ -186,7 +180,7 @@ def ambiguous_demotion(spark, sf_dir):
 
 def denylist_all_tokens(spark, sf_dir):
     rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.initcap("n_name").alias("name"))
-    deny = _table(spark, sf_dir, "nation").select(F.explode(F.split(F.lower("n_name"), " ")).alias("token")).filter("token < 'm'")
+    deny = _table(spark, sf_dir, "nation").select(F.explode(F.split(F.lower("n_name"), " ")).alias("token")).filter("token < 'nation_2'")
     return suppression.denylist_detail(rows, ["n_nationkey"], "name", deny)
 
 
@@ -295,4 +289,4 @@ _ALL = [
     manifest_totals, file_stats,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict = {}
+ORACLE_SQL = oracle_sql(SPANS)
