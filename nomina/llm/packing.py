@@ -36,21 +36,23 @@ class TokenIds:
     The vocabulary drops white space and no rule of it reaches across, so ids of the runs between ASCII white space
     follow one another; a distinct run is encoded once."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.seen, self.limit = Tokenizer.from_file(path), {}, limit
 
     def __call__(self, words: list[bytes]) -> bytes:
-        seen = self.seen
-        new = [w for w in set(words) if w not in seen]
-        if new:
-            if len(seen) > self.limit:
-                seen.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                seen[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(seen.__getitem__, words))
+        got = list(map(self.seen.get, words))  # one look-up a word: these miss the processor's caches
+        try:
+            return b"".join(got)
+        except TypeError:  # some word is new
+            if len(self.seen) > self.limit:
+                self.seen.clear()
+            own = {w: b"" for w, g in zip(words, got, strict=True) if g is None}
+            for w, e in zip(own, self.tok.encode_batch([w.decode() for w in own], add_special_tokens=False), strict=True):
+                own[w] = np.array(e.ids, "<u4").tobytes()
+            self.seen.update(own)
+            return b"".join([own[w] if g is None else g for w, g in zip(words, got, strict=True)])
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -63,7 +65,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                got = ids(t.split()) + end
+                # the vocabulary lower-cases; its special tokens, which it looks for first, are in lower case
+                got = ids((t if b"<|" in t else t.lower()).split()) + end
                 for piece, at in enumerate(range(0, len(got), width)):
                     part = got[at : at + width]
                     for col, v in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
