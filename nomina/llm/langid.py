@@ -98,7 +98,7 @@ class Scorer:
         steps = int(min(steps, (high - start).max() + WARM))
         at = start[None, :] - WARM + np.arange(steps)[:, None]
         inside = (at >= low) & (at < high)
-        codes = np.where(inside, raw[np.clip(at, 0, len(raw) - 1)], REST).astype(np.intp)
+        codes = np.where(inside, raw[np.clip(at, 0, len(raw) - 1)].astype(np.intp), REST)
         b = len(start)
         hf = np.empty((steps, HIDDEN, b), np.float32)
         h = self.f.start(b)

@@ -51,7 +51,7 @@ def cuts(sizes: DataFrame, per: DataFrame) -> DataFrame:
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = sums.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).select("s", "sn", "part", "before")
     # Pareto order sampling: rank by random odds over inclusion odds; within a source the latter are equal
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
+    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(F.col("pi"), 1 - F.col("pi")))  # null where pi is 0 or 1: u decides
     near = rows.join(at, ["s", "sn", "part"]).withColumn("odds", odds)
     order = Window.partitionBy("s", "sn").orderBy("odds", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("reach", F.col("before") + F.sum("size").over(order))
