@@ -9,6 +9,7 @@ from nomina import vocab
 from nomina.functions import text as T
 from nomina.operators.names import duplicate_flags, merge_inverted, roll_up
 from nomina.operators.scoring import tier_for
+from nomina.sources.tables import stored
 
 #: The columns in their order.
 COLUMNS = [
@@ -27,7 +28,7 @@ def name_table(hits: DataFrame) -> DataFrame:
 
 def report_rows(hits: DataFrame, certain: float = vocab.CERTAIN, light: float = vocab.LIGHT, fuzzy: float | None = vocab.FUZZY) -> DataFrame:
     """The 17 columns for every name, held-back ones too; tier rank and key are kept for the order."""
-    names = name_table(hits)
+    names = stored(name_table(hits))  # read by both sides of the duplicate pairs
     if fuzzy is not None:
         names = names.join(duplicate_flags(names.select("name_key", "display"), fuzzy), "name_key", "left")
     else:

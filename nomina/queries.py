@@ -12,6 +12,7 @@ from nomina.operators import names, report, scoring, spans, suppression, units
 from nomina.oracles import oracle_sql
 from nomina.plans import scan
 from nomina.sources import files
+from nomina.sources.tables import stored
 
 AS_OF = 2026
 #: Corpus names: words of the part table's names stand in for a dictionary beside these people.
@@ -70,7 +71,7 @@ def _pages(spark: SparkSession) -> DataFrame:
 def _hits(spark: SparkSession) -> DataFrame:
     cells = spark.createDataFrame(CELLS, "file string, page_num int, table_id int, r int, c int, cell string")
     deny = spark.createDataFrame([("summer",), ("church",)], "token string")
-    return scan.hits(_pages(spark), _people(spark), AS_OF, _common(spark), cells, deny)
+    return stored(scan.hits(_pages(spark), _people(spark), AS_OF, _common(spark), cells, deny))
 
 
 def _corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +263,7 @@ def ngram_scores(spark, sf_dir):
 def name_report(spark, sf_dir):
     """The whole review list over the documents: dictionary spans, verdicts, names, tiers."""
     pages = files.document_pages(_table(spark, sf_dir, "documents"))
-    found = scan.hits(pages, _corpus_words(spark, sf_dir), AS_OF, _common(spark))
+    found = stored(scan.hits(pages, _corpus_words(spark, sf_dir), AS_OF, _common(spark)))
     return report.report_rows(found).select(*report.COLUMNS)
 
 
