@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,8 @@ class TokenIds:
     The vocabulary drops white space and no rule of it reaches across, so ids of the runs between ASCII white space
     follow one another; a distinct run is encoded once."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok, self.seen, self.limit = Tokenizer.from_file(path), {}, limit
@@ -49,11 +51,20 @@ class TokenIds:
             if len(self.seen) > self.limit:
                 self.seen.clear()
             own = {w: b"" for w, g in zip(words, got, strict=True) if g is None}
-            for w, e in zip(own, self.tok.encode_batch([w.decode() for w in own], add_special_tokens=False), strict=True):
-                own[w] = np.array(e.ids, "<u4").tobytes()
-            self.seen.update(own)
+            parts = {w: self._parts(w) for w in own}
+            new = [p for p in {p for ps in parts.values() for p in ps} if p not in self.seen]
+            for p, e in zip(new, self.tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+                self.seen[p] = np.array(e.ids, "<u4").tobytes()
+            for w, ps in parts.items():
+                own[w] = b"".join([self.seen[p] for p in ps])
             return b"".join([own[w] if g is None else g for w, g in zip(words, got, strict=True)])
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        """A word and the punctuation at its end apart, where the vocabulary cuts there too: after an ASCII letter or digit."""
+        stem = word.rstrip(b".,!?;:%&*#$")
+        return (stem, word[len(stem) :]) if stem != word and stem and stem[-1:].isalnum() and b"<|" not in word else (word,)
+
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and END, cut only where longer than capacity.
