@@ -6,6 +6,7 @@ import os
 import sys
 import zlib
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,17 @@ class TokenIds:
     """Little-endian 32-bit ids of a text, word by word with a bounded memory.
 
     The vocabulary drops white space and no rule of it reaches across, so ids of the runs between ASCII white space
-    follow one another; a distinct run is encoded once."""
+    follow one another; a distinct run is encoded once. New runs of letters alone are encoded side by side as one text:
+    each is one unit of the vocabulary, whose last id, and no other, ends a unit."""
 
     def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok, self.seen, self.limit = Tokenizer.from_file(path), {}, limit
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __call__(self, words: list[bytes]) -> bytes:
         got = list(map(self.seen.get, words))  # one look-up a word: these miss the processor's caches
@@ -50,20 +55,45 @@ class TokenIds:
         except TypeError:  # some word is new
             if len(self.seen) > self.limit:
                 self.seen.clear()
-            own = {w: b"" for w, g in zip(words, got, strict=True) if g is None}
-            parts = {w: self._parts(w) for w in own}
-            new = [p for p in {p for ps in parts.values() for p in ps} if p not in self.seen]
-            for p, e in zip(new, self.tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-                self.seen[p] = np.array(e.ids, "<u4").tobytes()
-            for w, ps in parts.items():
-                own[w] = b"".join([self.seen[p] for p in ps])
-            return b"".join([own[w] if g is None else g for w, g in zip(words, got, strict=True)])
+            places, at = [], -1
+            while True:
+                try:
+                    at = got.index(None, at + 1)
+                except ValueError:
+                    break
+                places.append(at)
+            parts = {w: self._parts(w) for w in {words[i] for i in places}}
+            seen = self.seen
+            self._learn([p for p in {p for ps in parts.values() for p in ps} if p not in seen])
+            seen.update([(w, seen[ps[0]] + seen[ps[1]]) for w, ps in parts.items() if len(ps) > 1])
+            for i in places:
+                got[i] = seen[words[i]]
+            return b"".join(got)
+
+    def _learn(self, new: list[bytes]) -> None:
+        seen, units, rest = self.seen, [], []
+        for p in new:
+            (units if p.decode().isalpha() else rest).append(p)
+        if units:
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(units).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(cut) == len(units) + 1 and cut[-1] == 4 * len(ids):
+                ids = ids.tobytes()
+                seen.update(zip(units, [ids[a:b] for a, b in zip(cut, cut[1:])], strict=True))
+            else:  # some letter decomposes to a letter and a mark: two units
+                rest = new
+        for p, e in zip(rest, self.tok.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
+            seen[p] = np.array(e.ids, "<u4").tobytes()
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
-        """A word and the punctuation at its end apart, where the vocabulary cuts there too: after an ASCII letter or digit."""
+        """A word and the punctuation at its end apart, where the vocabulary cuts there too: after a letter or digit."""
         stem = word.rstrip(b".,!?;:%&*#$")
-        return (stem, word[len(stem) :]) if stem != word and stem and stem[-1:].isalnum() and b"<|" not in word else (word,)
+        if len(stem) in (0, len(word)) or b"<|" in word:
+            return (word,)
+        # a letter that NFC or lower case takes apart ends in a mark, which is one unit with the punctuation
+        alike = stem[-1:].isalnum() if stem[-1] < 128 else normalize("NFC", stem.decode()[-1]).lower()[-1].isalnum()
+        return (stem, word[len(stem) :]) if alike else (word,)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
