@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,20 +13,25 @@ from pyspark.sql import functions as F
 from nomina.llm.common import WordHashes, mix64, shingles, stored, table, texts
 from nomina.llm.components import components
 
-#: Slots of a signature; a band is ROWS of them. At a likeness of 0.85 a pair shares no band with probability 6e-11.
+#: Slots of a signature; a band is ROWS of them. A pair shares no band with probability 6e-11 at a likeness of 0.85, 5e-8 at 0.8.
 SLOTS, ROWS = 128, 4
-#: Pairs that agree in fewer slots aren't linked: over 6 standard deviations below a likeness of 0.85.
-LEAST = 83
-#: The same for the longer signature that members of one bucket in different components are compared by.
-FINE, FINE_LEAST = 1024, 798
+#: Slots of the longer signature that members of one bucket in different components are compared by.
+FINE = 1024
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024
-#: Words in a shingle; links need 100 * common >= PERCENT * union.
-WIDTH, PERCENT = 3, 85
+#: Words in a shingle; links need 100 * common >= PERCENT * union. The query op8 fixes its own.
+WIDTH, PERCENT = 5, 80
+OP8_WIDTH, OP8_PERCENT = 3, 85
 #: Shingles whose permutations are held at once.
 CHUNK = 150_000
 
 
+def least_slots(slots: int, percent: int) -> int:
+    """Pairs that agree in fewer slots aren't linked: over 6 standard deviations below the likeness."""
+    p = percent / 100
+    return math.ceil(slots * p - 6.4 * math.sqrt(slots * p * (1 - p)))
+
+
 def signatures(hashes: np.ndarray, doc: np.ndarray, docs: int, slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash of documents: [docs, slots] float64; `doc` is the document of each distinct hash, ascending.
 
@@ -54,16 +60,16 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, docs: int, slots: int = SLOT
     return sig
 
 
-def shingle_sets(column: pa.Array, words: WordHashes, width: int = WIDTH) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, words: WordHashes, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: A-Z lower-cased, words between ASCII white space."""
     return [np.unique(shingles(words(t.lower().split()), width)) for t in texts(column)]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     bands = SLOTS // ROWS
     for batch in batches:
-        sets = shingle_sets(batch.column(1), words)
+        sets = shingle_sets(batch.column(1), words, width)
         n = np.array([len(s) for s in sets], np.int64)
         keys, short, low = [np.zeros((0, bands), np.uint64)], [], []
         at = 0
@@ -90,17 +96,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), lists, pa.array(short, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "s1", "s2", "bands", "sig", "low"])
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fine(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:
         short = []
-        for s in shingle_sets(batch.column(1), words):
+        for s in shingle_sets(batch.column(1), words, width):
             sig = signatures(s, np.zeros(len(s), np.int64), 1, FINE)
             short.append((mix64(sig.view(np.uint64)[0]) & np.uint64(255)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["doc_id", "fine"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text_a, text_b) those whose full shingle sets are near enough."""
     words, kept = WordHashes(), {}
 
@@ -108,7 +114,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in kept:
             if len(kept) > 256:
                 kept.clear()
-            kept[key] = np.unique(shingles(words(text.lower().split()), WIDTH))
+            kept[key] = np.unique(shingles(words(text.lower().split()), width))
         return kept[key]
 
     for batch in batches:
@@ -117,23 +123,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (a, b) in enumerate(zip(*ids, strict=True)):
             x, y = of(a, ta[i].as_py().encode()), of(b, tb[i].as_py().encode())
             common = 0
-            if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                 common = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * common >= PERCENT * (len(x) + len(y) - common) and common > 0)
+            ok.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
         keep = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full texts are linked; own has (doc_id, text) of all of them, once."""
     one = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return stored(full.mapInArrow(_verify, "a long, b long"))
+    return stored(full.mapInArrow(lambda rows: _verify(rows, width, percent), "a long, b long"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text), with shingles of `width` words
+    and links where 100 * common >= percent * union.
 
     Equal shingle sets form classes first, so that copies cost one row each and only class representatives (the smallest
     id) are compared. In a bucket of a band all are checked against the bucket's smallest id; members that are then
@@ -141,7 +148,7 @@ def groups(docs: DataFrame) -> DataFrame:
     A null or wordless text has no shingles and stands alone; a row with a null id stands alone with null component_id
     and kept true; rows with the same id count as one document of that id's first text. No rows: no rows."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary, low binary"))
+    sketch = stored(docs.mapInArrow(lambda rows: _sketch(rows, width), "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary, low binary"))
     full = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
@@ -150,16 +157,16 @@ def groups(docs: DataFrame) -> DataFrame:
     sigs = stored(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", F.col("low").alias("keys")).dropDuplicates(["doc_id"]))
     own = stored(docs.join(members.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
     near = members.filter("doc_id != low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
-    links = _confirmed(_likely(near, sigs), own)
+    links = _confirmed(_likely(near, sigs, percent), own, width, percent)
     comp = components(links)
     labelled = members.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     labelled = stored(labelled)
     mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).filter("l0 != l1 AND size > 2").select("key", "size"))
     rest = stored(labelled.filter("doc_id != low").join(mixed, "key").drop("low", "component"))
-    fine = own.join(rest.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(_fine, "doc_id long, fine binary")
-    more = stored(_cross(rest, stored(sigs.join(fine, "doc_id"))))
+    fine = own.join(rest.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(lambda rows: _fine(rows, width), "doc_id long, fine binary")
+    more = stored(_cross(rest, stored(sigs.join(fine, "doc_id")), percent))
     if more.limit(1).count():
-        links = stored(links.union(_confirmed(more, own)))
+        links = stored(links.union(_confirmed(more, own, width, percent)))
         comp = components(links)
     final = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n", "s1", "s2").join(stored(final), ["n", "s1", "s2"], "left")
@@ -167,33 +174,34 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in LEAST slots."""
+def _likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that agree in slots enough."""
+    least = least_slots(SLOTS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (2, 3))
-            keep = pa.array((one == two).sum(axis=1) >= LEAST)
+            keep = pa.array((one == two).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     full = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
     return stored(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, doc_id, n, label, sig, fine, keys, block), those of a pair of blocks together: the likely pairs across labels."""
 
     def found(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         key, i, j, ids, n, label, block = (t.column(c).to_numpy() for c in ("key", "i", "j", "doc_id", "n", "label", "block"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        fit = (label[one][:, None] != label[two][None, :]) & (100 * np.minimum(n[one][:, None], n[two][None, :]) >= PERCENT * np.maximum(n[one][:, None], n[two][None, :]))
+        fit = (label[one][:, None] != label[two][None, :]) & (100 * np.minimum(n[one][:, None], n[two][None, :]) >= percent * np.maximum(n[one][:, None], n[two][None, :]))
         if i[0] == j[0]:
             fit &= ids[one][:, None] < ids[two][None, :]
         x, y = np.nonzero(fit)
         x, y = one[x], two[y]
         fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-        for of, least in ((sig, LEAST), (fine, FINE_LEAST)):
+        for of, least in ((sig, least_slots(SLOTS, percent)), (fine, least_slots(FINE, percent))):
             step = (1 << 23) // of.shape[1]
             keep = np.concatenate([np.zeros(0, bool)] + [(of[x[k : k + step]] == of[y[k : k + step]]).sum(axis=1) >= least for k in range(0, len(x), step)])
             x, y = x[keep], y[keep]
@@ -234,7 +242,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(held)
 
 
-def _cross(rest: DataFrame, sigs: DataFrame) -> DataFrame:
+def _cross(rest: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Likely pairs (a < b) of one bucket in different components and of sizes that a link allows, each once.
 
     A bucket is cut into blocks of about BLOCK members, and each pair of blocks is compared in one task: no task holds a
@@ -243,11 +251,11 @@ def _cross(rest: DataFrame, sigs: DataFrame) -> DataFrame:
     rows = rest.join(sigs, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "label", "sig", "fine", "keys", "block")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda rows: _compare(rows, percent), "a long, b long").distinct()
 
 
 def op8_minhash_near_dedup(spark, sf_dir) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups(table(spark, sf_dir, "documents").select("doc_id", "text"), OP8_WIDTH, OP8_PERCENT)
 
 
 #: DuckDB SQL of op8 over a relation of (doc_id, text): exact, by all pairs that share a shingle of documents whose sizes fit.

@@ -58,6 +58,33 @@ def test_near_duplicates(docs, empty):
     assert by.component_id[2] == by.component_id[3] == 1 and by.component_id[13] == 13 and by.component_id[4] == 4
     assert by.n_shingles[4] == by.n_shingles[5] == 0 and by.n_shingles[13] == 1 and len(got) == 12
     assert neardup.groups(empty).count() == 0
+    assert neardup.least_slots(128, 85) == 83 and neardup.least_slots(1024, 85) == 798
+
+
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_near_duplicates_against_brute_force(spark, width, percent):
+    texts = []
+    for _ in range(8):
+        base = rng.choice(WORDS, 160).tolist()
+        for edits in range(7):
+            own = list(base)
+            for at in rng.choice(160, edits, replace=False):
+                own[at] = "X" + own[at]
+            texts.append(" ".join(own))
+    sets = [{tuple(t.lower().split()[i : i + width]) for i in range(160 - width + 1)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(a):
+        return a if root[a] == a else find(root[a])
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.groups(df, width, percent).collect()}
+    assert got == {i: find(i) for i in range(len(sets))}
 
 
 def test_superminhash_estimates():
@@ -76,6 +103,18 @@ def test_packing(docs, empty):
     assert packing.place(packing.pieces(empty, packing.vocabulary_path())).count() == 0
 
 
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_ids_are_those_of_whole_texts(limit):
+    ids = packing.TokenIds(packing.vocabulary_path(), limit)
+    letters = "a\u00e9\u0301\u0958,.'s1\u00b2!\" <| \u3000\x1c\u00df\u0130\u03a3\U0001d15e\u65e5\xa0"
+    texts = ["don't \"foo\", bar! \u0958. ab <|endoftext|>, x<|ENDOFTEXT|> y 12,5%", "Stra\u00dfe, caf\u00e9; the the, the."]
+    texts += ["".join(rng.choice(list(letters), 30)) for _ in range(400)]
+    for t in texts:
+        raw = t.encode()
+        got = np.frombuffer(ids((raw if b"<|" in raw else raw.lower()).split()), "<u4").tolist()
+        assert got == ids.tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_bin_completion_reaches_the_bound():
     counts = np.zeros(101, int)
     counts[[26, 24, 51, 49, 60, 20]] += [3, 3, 2, 2, 2, 4]
