@@ -130,6 +130,27 @@ def test_passages(docs, empty):
     assert passages.repeated(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [3, 100])
+def test_passages_behind_a_part_of_them(spark, parts):
+    """An earlier document holds a part of a passage that later ones repeat whole; held against all runs of 50 words."""
+    own, texts = np.random.default_rng(8), []
+    few = lambda n: own.choice([f"v{i}" for i in range(5000)], n).tolist()
+    for _ in range(25):
+        passage = few(52)
+        texts += [few(60) + passage[2:50] + few(60)] + [few(60) + passage + few(60) for _ in range(3)]
+    seen, want = {}, set()
+    for i, t in enumerate(texts):
+        for a in range(len(t) - 49):
+            if seen.setdefault(tuple(t[a : a + 50]), i) < i:
+                want |= {(i, w) for w in range(a, a + 50)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(parts, "doc_id")
+    got = set()
+    for r in passages.repeated(df).collect():
+        at = len(" ".join(texts[r.doc_id])[: r.start].split())
+        got |= {(r.doc_id, w) for w in range(at, at + r.words)}
+    assert len({i for i, _ in want}) == 50 and want <= got
+
+
 def test_compact_windows_against_brute_force():
     h = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
     l, c, r = passages.compact_windows(h, np.zeros(200, int), np.array([0]), np.array([199]), 10)
