@@ -130,13 +130,13 @@ def latin_words(spark, sf_dir):
 
 def shape_scores(spark, sf_dir):
     shape = scoring.shape_adjustment(F.col("line"))
-    rows = _lines(spark, sf_dir).filter(F.length("line").between(1, 60)).select("doc_id", "line_no", shape.alias("s"))
+    rows = _lines(spark, sf_dir).select("doc_id", "line_no", shape.alias("s"))
     conf = scoring.composite(F.lit(0.85), F.lit(0.0), F.col("s"))
     return rows.select("doc_id", "line_no", F.round("s", 6).alias("shape"), F.round(conf, 6).alias("confidence"), scoring.tier_for(F.round(conf, 6), F.lit(0.0)).alias("tier"))
 
 
 def sanitize_surface(spark, sf_dir):
-    return _lines(spark, sf_dir).filter(F.length("line").between(1, 80)).select("doc_id", "line_no", T.sanitize(F.col("line")).alias("name"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", T.sanitize(F.col("line")).alias("name"))
 
 
 def flipped_names(spark, sf_dir):
@@ -226,8 +226,8 @@ def relocate_spans(spark, sf_dir):
 
 
 def _doc_hits(spark, sf_dir):
-    """Each short comma line as a hit, so that the roll-up sees real rows: seq, file, page_num and fixed scores."""
-    rows = _lines(spark, sf_dir).filter(F.length("line").between(3, 40)).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    """Each line as a hit, so that the roll-up sees real rows: seq, file, page_num and fixed scores."""
+    rows = _lines(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     odd = F.col("doc_id") % 3 == 0
     return rows.select(
         (F.col("doc_id") * 100000 + F.col("line_no")).alias("seq"), F.col("source").alias("file"), F.col("doc_id").cast("int").alias("page_num"), T.normalize_name(F.col("line")).alias("raw_name"),
@@ -237,7 +237,8 @@ def _doc_hits(spark, sf_dir):
 
 
 def name_rollup(spark, sf_dir):
-    out = names.roll_up(_doc_hits(spark, sf_dir))
+    """Lines of 3 to 40 characters, as its SQL takes them."""
+    out = names.roll_up(_doc_hits(spark, sf_dir).filter(F.length("raw_surface").between(3, 40)))
     return out.select("name_key", "display", "occurrence_count", "suppressed_count", F.array_join("recognizers", ",").alias("recognizers"), F.size(F.array_distinct(F.transform("locations", lambda x: x["file"]))).alias("file_count"))
 
 

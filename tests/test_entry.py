@@ -20,6 +20,14 @@ def test_queries_run(spark, name):
     assert Q.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_lines_of_any_length(spark, tmp_path):
+    text = "Ann Lee\n\nAl\n" + "Sarah Kowalski " * 10 + "\nKim, Bo " + "x" * 60
+    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: Q.QUERIES[n](spark, str(tmp_path)) for n in ("shape_scores", "sanitize_surface", "inverted_merge", "file_stats", "manifest_totals")}
+    assert got["shape_scores"].count() == got["sanitize_surface"].count() == got["file_stats"].collect()[0].hits == 5
+    assert got["inverted_merge"].count() == 4 and got["manifest_totals"].collect()[0]["names"] == 4
+
+
 def test_works_without_llm():
     code = "import sys; sys.modules['corpus_pipeline'] = None\ntry:\n    import corpus_pipeline\nexcept ModuleNotFoundError as e:\n    assert e.name == 'corpus_pipeline'\nimport __spark_entry__ as e; assert e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=60)
