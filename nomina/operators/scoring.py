@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from nomina import vocab
 from nomina.functions import text as T
+from nomina.functions.similarity import gazetteer_token
 
 ALPHA = 0.01
+#: Percentiles of the names' scores: below the first a token is implausible, below the second condemned. Scored names that
+#: a conviction needs.
+SIGNAL, CONVICT, LEAST_NAMES = 1.0, 0.1, 20000
 
 
 def context_boost(ctx: Column, start: Column, end: Column) -> Column:
@@ -66,7 +70,7 @@ class NgramModel:
         part = (F.coalesce("n_tri", F.lit(0)) + ALPHA) / (F.coalesce("n_bi", F.lit(0)) + ALPHA * F.col("v"))
         return rows.groupBy("token").agg((F.sum(F.ln(part)) / F.count(F.lit(1))).alias("score"))
 
-    def thresholds(self, percents: tuple = (1.0, 0.1)) -> DataFrame:
+    def thresholds(self, percents: tuple = (SIGNAL, CONVICT)) -> DataFrame:
         """(pct, threshold, n): the score at place int(n * pct / 100) of the ascending scores of the names.
 
         The place is found among the scores below an approximate percentile, so that no task sorts all names."""
@@ -81,6 +85,26 @@ class NgramModel:
         return out
 
 
+def implausible_names(rows: DataFrame, key: list[str], name: str, dictionary: DataFrame) -> DataFrame:
+    """key, implausible and condemned of the rows with tokens: whether a token scores below the first threshold of the
+    dictionary's model; whether one does below the second while no token, or part of a hyphenated one, is in the
+    dictionary, and the model has LEAST_NAMES scored names."""
+    model = NgramModel(dictionary)
+    limits = {r["pct"]: r for r in model.thresholds((SIGNAL, CONVICT)).collect()}  # two rows
+    low, lowest = (F.lit(limits[p]["threshold"]).cast("double") for p in (SIGNAL, CONVICT))
+    toks = rows.select(*key, F.explode(T.tokens(F.col(name))).alias("_raw")).withColumn("token", gazetteer_token("_raw"))
+    latin = toks.withColumn("_latin", T.is_latin(F.col("_raw")))
+    parts = F.filter(F.split("token", "-"), lambda p: p != "")
+    own = latin.select("token").distinct()
+    forms = own.withColumn("_form", F.explode(F.array_distinct(F.concat(F.array("token"), parts))))
+    known = forms.join(dictionary.select(F.col("token").alias("_form")).distinct(), "_form").select("token", F.lit(True).alias("_known")).distinct()
+    each = latin.join(model.score(own), "token", "left").join(known, "token", "left")
+    # scores are sums in any order: the name at the threshold itself mustn't fall below it
+    under = lambda limit: F.bool_or(F.coalesce(F.col("_latin") & (F.col("score") < limit - 1e-9), F.lit(False)))
+    per = each.groupBy(*key).agg(under(low).alias("implausible"), under(lowest).alias("_under"), F.bool_or(F.coalesce("_known", F.lit(False))).alias("_any"))
+    return per.select(*key, "implausible", (F.lit(limits[CONVICT]["n"] >= LEAST_NAMES) & F.col("_under") & ~F.col("_any")).alias("condemned"))
+
+
 def runs_of(pages: DataFrame, keys: list[str], page: str) -> DataFrame:
     """Islands of consecutive distinct pages: keys, low, high."""
     w = Window.partitionBy(*keys).orderBy(page)

@@ -47,7 +47,9 @@ def hits(pages: DataFrame, names: DataFrame, as_of: int, ambiguous: DataFrame |
     if denylist is not None:
         denied = suppression.denylist_detail(rows.select("hit", "name"), ["hit"], "name", denylist)
         c = c.join(denied, "hit", "left")
-    c = suppression.verdict(c, "denylist_detail" if denylist is not None else None)
+    c = c.join(scoring.implausible_names(rows.select("hit", "name"), ["hit"], "name", names), "hit", "left")
+    c = c.withColumns({x: F.coalesce(x, F.lit(False)) for x in ("implausible", "condemned")})
+    c = suppression.verdict(c, "denylist_detail" if denylist is not None else None, F.col("implausible"), F.col("condemned"))
     at = (F.col("ctx"), F.col("start"), F.col("end"))
     c = c.withColumns({"boost": scoring.context_boost(*at), "reasons": minors.reasons(*at, as_of)})
     c = c.withColumn("binding", minors.binding(F.col("ctx"), F.col("spans"), F.col("start"), F.col("end"), F.col("reasons"), F.col("col_role"), as_of))
@@ -59,8 +61,9 @@ def hits(pages: DataFrame, names: DataFrame, as_of: int, ambiguous: DataFrame |
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"),
         F.bool_and(F.col("judged") != "").alias("suppressed"),
         F.max_by("judged", "n").alias("judged"),
+        F.bool_or("implausible").alias("implausible"),
     )
-    boosted = scoring.composite(F.col("score"), F.col("boost"), scoring.shape_adjustment(F.col("name")))
+    boosted = scoring.composite(F.col("score"), F.col("boost"), scoring.shape_adjustment(F.col("name"), F.col("implausible")))
     bound = F.col("minor_binding") != ""
     return per.select(
         F.xxhash64("file", "page_num", "seq").alias("seq"),

@@ -261,6 +261,11 @@ def ngram_scores(spark, sf_dir):
     return scoring.NgramModel(words).score(words).select("token", F.round("score", 6).alias("score"))
 
 
+def ngram_thresholds(spark, sf_dir):
+    limits = scoring.NgramModel(_corpus_words(spark, sf_dir)).thresholds()
+    return limits.select("pct", F.round("threshold", 6).alias("threshold"), "n")
+
+
 def name_report(spark, sf_dir):
     """The whole review list over the documents: dictionary spans, verdicts, names, tiers."""
     pages = files.document_pages(_table(spark, sf_dir, "documents"))
@@ -287,7 +292,7 @@ def file_stats(spark, sf_dir):
 _ALL = [
     norm_name, context_normalize, page_garbage, uppercase_lines, titlecase_lines, csv_safe, page_ranges, page_lists, garbage_signals, latin_words, shape_scores, sanitize_surface, flipped_names,
     prose_flipped_units, page_problems, cell_units, column_roles, gazetteer_runs, gazetteer_tokens, ambiguous_demotion, denylist_all_tokens, suppress_verdict, org_rules, minor_bindings,
-    overlap_resolve, suppressor_overlap, resume_antijoin, relocate_spans, name_rollup, inverted_merge, duplicate_flags, ngram_counts, ngram_scores, name_report, fixture_report, suppressed_rows,
+    overlap_resolve, suppressor_overlap, resume_antijoin, relocate_spans, name_rollup, inverted_merge, duplicate_flags, ngram_counts, ngram_scores, ngram_thresholds, name_report, fixture_report, suppressed_rows,
     manifest_totals, file_stats,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

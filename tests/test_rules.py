@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from nomina import queries as Q
 from nomina.functions import text as T
 from nomina.functions.similarity import eponym_of, indel_ratio
-from nomina.operators import minors, suppression
+from nomina.operators import minors, scoring, suppression
+from nomina.plans import scan
 
 VERDICTS = ["organization", "", "organization", "organization", "", "", "medical_term", "", "medical_term", "", "medical_term", "", "salutation_only", "", "ocr_garbage", "ocr_garbage", ""]
 
@@ -53,3 +54,20 @@ def test_overlaps_and_runs(spark):
     runs = Q.ambiguous_demotion(spark, "").join(Q._pages(spark).selectExpr("concat_ws(':', file, page_num) unit_id", "text"), "unit_id")
     found = {r.s for r in runs.selectExpr("substring(text, start + 1, end - start) s").collect()}
     assert "Georgia Bell" in found and "Autumn Winters" in found and "White House" not in found and "Summer Church." not in found
+
+
+def test_implausible_tokens_reach_scores_and_verdicts(spark):
+    pages = spark.createDataFrame([("a", 1, "Georgia Kowalska Zqixjo came"), ("a", 2, "Sarah Kowalski Qzxwv came"), ("a", 3, "with Zofia Kowalska")], "file string, page_num int, text string")
+    got = {r.page_num: r for r in scan.hits(pages, Q._people(spark), 2026).collect()}
+    assert round(got[1].boosted, 6) == 0.5 and got[1].suppressed == 0
+    assert got[2].suppress_reason == "ocr_garbage|implausible_ngrams,vowelless_token"
+    assert round(got[3].boosted, 6) == 0.65 and got[3].suppressed == 0
+
+
+def test_condemned_names(spark, monkeypatch):
+    names = spark.createDataFrame([("georgia",), ("kowalska",), ("lopez",)], "token string")
+    rows = spark.createDataFrame([(1, "Zqixjo Wxiqzu"), (2, "Zqixjo Georgia"), (3, "Zqixjo Lopez-Wxiqzu"), (4, "Georgia Kowalska"), (5, "Bo")], "i int, name string")
+    told = lambda: {r.i: (r.implausible, r.condemned) for r in scoring.implausible_names(rows, ["i"], "name", names).collect()}
+    assert told() == {1: (True, False), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, False)}
+    monkeypatch.setattr(scoring, "LEAST_NAMES", 3)
+    assert told() == {1: (True, True), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, False)}
