@@ -95,9 +95,9 @@ def top_k(rows: DataFrame, is_query, k: int = K) -> DataFrame:
 
     Vectors are dealt into buckets of similar length, each bucket into cells of at most about CELL rows. Queries travel in
     blocks: first to the cell of the longest vectors, whose k-th score is a floor for the query, then with that floor to
-    every cell. A vector shorter than a query counts as filled up with zeros. Repeated ids are each a candidate, except
-    for queries of the same id; a repeated query id gives the answers of each of its rows once. With no candidates there
-    are no rows for a query."""
+    every cell. A vector shorter than a query counts as filled up with zeros. Repeated rows and ids are each a candidate,
+    except for queries of the same id; a repeated query id ranks the candidates of all its rows together, each as often as it
+    has rows. With no candidates there are no rows for a query."""
     all_ = stored(vectors(rows))
     stats = all_.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).collect()[0]
     n, width = stats["n"], stats["width"] or 0
@@ -118,7 +118,7 @@ def top_k(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     floors = first.groupBy("vec_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
     floors = stored(floors.select("vec_id", F.when(F.col("n") >= k, F.col("low").cast("double")).alias("low")))
     queries = queries.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("low", "floor").alias("floor"), "block")
-    found = _search(queries, dealt, names, k, width, blocks).distinct()
+    found = _search(queries, dealt, names, k, width, blocks)
     best_ = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("other").alias("o")))), 1, k)
     ranked = found.groupBy("vec_id").agg(best_.alias("b")).select(F.col("vec_id").alias("query_id"), F.posexplode("b").alias("p", "x"))
     return ranked.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.o").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -195,6 +195,26 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    v = rng.standard_normal((40, 8)).astype(np.float32)
+    ids = np.array([*range(40), *range(1, 40), *[7] * 5, 0])
+    df = spark.createDataFrame([(int(i), [float(x) for x in v[i]]) for i in ids], "vec_id long, embedding array<float>")
+    x = np.floor(256 * v.astype(float))
+    for rows, times in ((df, 2), (df.filter("vec_id > 0").union(df.filter("vec_id = 0").limit(1)), 1)):
+        mine = topk.top_k(rows, F.col("vec_id") == 0).orderBy("rank").collect()
+        others = np.repeat(ids[ids != 0], times)
+        score = x[others] @ x[0]
+        order = np.lexsort((others, -score))[:5]
+        assert [(r["rank"], r.vec_id, r.score) for r in mine] == [(n + 1, others[o], int(score[o])) for n, o in enumerate(order)]
+
+
+def test_top_k_of_repeated_rows_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL", 8)
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(40, [40.0, 1.0])] * 5 + [(0, [1.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 7).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [40] * 5 + [39, 38]
+
+
 def test_classifiers(spark, docs, empty):
     words = {"en": ["the", "house", "walk"], "fr": ["le", "été", "maison"]}
     rows = [(i, " ".join(rng.choice(words[y], 40)), y, "s", 1) for i, y in enumerate(["en", "fr"] * 60)]
