@@ -1,11 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nomina.llm import fingerprints, langid, mixing, neardup, packing, passages, sharding, tokencount, topk, toxicity
+from nomina.llm.common import octets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = np.random.default_rng(3)
@@ -94,7 +96,7 @@ def test_superminhash_estimates():
 
 
 def test_packing(docs, empty):
-    got = packing.place(packing.pieces(docs, packing.vocabulary_path()).cache()).toPandas()
+    got = packing.place(packing.pieces(docs, packing.vocabulary_path())).toPandas()
     assert got.groupby("sequence_id").length.sum().max() <= 4096 and (got.length > 0).all()
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.values == np.cumsum(g.length.values) - g.length.values).all()
@@ -103,23 +105,79 @@ def test_packing(docs, empty):
     assert packing.place(packing.pieces(empty, packing.vocabulary_path())).count() == 0
 
 
-@pytest.mark.parametrize("limit", [3, 1000])
-def test_ids_are_those_of_whole_texts(limit):
-    ids = packing.TokenIds(packing.vocabulary_path(), limit)
-    letters = "a\u00e9\u0301\u0958,.'s1\u00b2!\" <| \u3000\x1c\u00df\u0130\u03a3\U0001d15e\u65e5\xa0"
-    texts = ["don't \"foo\", bar! \u0958. ab <|endoftext|>, x<|ENDOFTEXT|> y 12,5%", "Stra\u00dfe, caf\u00e9; the the, the."]
+@pytest.mark.parametrize("limit, size", [(3, 200), (1000, 1 << 24)])
+def test_ids_are_those_of_whole_texts(spark, monkeypatch, limit, size):
+    monkeypatch.setattr(packing, "SLICE", size)
+    letters = "a\u00e9\u0301\u0958,.'s1\u00b2!\" <| \u3000\x1c\u00df\u0130\u03a3\U0001d15e\u65e5\xa0\xd7\xf7\u2026\xc9B"
+    texts = ["don't \"foo\", bar! \u0958. ab <|endoftext|>, x<|ENDOFTEXT|> y 12,5%", "Stra\u00dfe, caf\u00e9; the the, the.", "", " "]
     texts += ["".join(rng.choice(list(letters), 30)) for _ in range(400)]
-    for t in texts:
-        raw = t.encode()
-        got = np.frombuffer(ids((raw if b"<|" in raw else raw.lower()).split()), "<u4").tolist()
-        assert got == ids.tok.encode(t, add_special_tokens=False).ids, t
+    ids = packing.TokenIds(packing.vocabulary_path(), limit)
+    lower = [t if "<|" in t else "".join(c.lower() if c.isascii() else c for c in t) for t in texts]
+    for at in (0, 7):
+        raw, offsets, _ = octets(pa.array(lower[at:]))
+        flat, first = ids(raw, offsets)
+        for i, t in enumerate(texts[at:]):
+            assert flat[first[i] : first[i + 1]].tolist() == ids.tok.encode(t, add_special_tokens=False).ids, t
+
+
+def _contents(patterns, capacity):
+    held = np.zeros(capacity + 1, int)
+    for times, content in patterns:
+        assert sum(s * m for s, m in content) <= capacity and times > 0
+        for s, m in content:
+            held[s] += times * m
+    return held
 
 
 def test_bin_completion_reaches_the_bound():
     counts = np.zeros(101, int)
     counts[[26, 24, 51, 49, 60, 20]] += [3, 3, 2, 2, 2, 4]
     p = packing.pack(counts, 100)
-    assert sum(t for t, _ in p) == packing.lower_bound(counts, 100) and all(sum(s) <= 100 for _, s in p)
+    assert sum(t for t, _ in p) == packing.lower_bound(counts, 100) and (_contents(p, 100) == counts).all()
+
+
+def _least_sequences(sizes, capacity):
+    """By trying every place of every piece."""
+    best = [len(sizes)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= sizes[i]:
+                rest = list(rooms)
+                rest.remove(r)
+                go(i + 1, [*rest, r - sizes[i]])
+        go(i + 1, [*rooms, capacity - sizes[i]])
+
+    sizes = sorted(sizes, reverse=True)
+    go(0, [])
+    return best[0]
+
+
+def test_whole_search_against_brute_force():
+    draw, better = np.random.default_rng(5), 0
+    for _ in range(400):
+        capacity = int(draw.integers(10, 60))
+        sizes = draw.integers(1 + capacity // 8, 2 + capacity // 2, int(draw.integers(0, 12))).tolist()
+        counts = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+        p = packing.pack(counts, capacity, None, None, None)
+        assert (_contents(p, capacity) == counts).all() and sum(t for t, _ in p) == _least_sequences(sizes, capacity)
+        some = packing.pack(counts, capacity, 1, 1, 1)
+        assert (_contents(some, capacity) == counts).all()
+        better += sum(t for t, _ in p) < sum(t for t, _ in packing.best_fit(counts, capacity))
+    assert better
+
+
+def test_repeated_rows_are_packed_as_often_as_they_stand_there(spark):
+    rows = spark.createDataFrame([(1, "a b c")] * 500 + [(None, None)] * 500, "doc_id long, text string").repartition(3)
+    got = packing.place(packing.pieces(rows, packing.vocabulary_path(), 16), 16).toPandas()
+    assert len(got) == 1000 and got.sequence_id.nunique() == 500 * 4 // 16 + 500 // 16 + 1
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.values == np.cumsum(g.length.values) - g.length.values).all()
 
 
 def test_passages(docs, empty):
