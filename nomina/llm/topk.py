@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nomina.llm.common import stored, table
@@ -15,19 +15,26 @@ K = 5
 #: Components are floor(SCALE * x).
 SCALE = 256
 #: Queries that travel together, those multiplied at once, vectors in a cell, coordinates that coordinate pruning sees.
-BLOCK, STEP, CELL, FOCUS = 65536, 512, 4096, 12
+BLOCK, STEP, CELL, FOCUS = 16384, 512, 8192, 12
+#: Buckets a doubling of the length: lengths of doubles give at most 2100 * BUCKETS of them, whatever the rows.
+BUCKETS = 4
 #: Products below this are exact in doubles.
 EXACT = 2.0**53
+#: What rounding may take from a bound.
+SLACK = 1 + 1e-9
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>, norm): the whole-number vectors; rows with a null id, a null vector or a component that
-    is null or not finite take no part."""
+    """(vec_id, v array<double>, norm, bucket): the whole-number vectors; rows with a null id, a null vector or a component
+    that is null or that isn't finite, by itself or SCALE times, take no part. bucket: of vectors of similar length."""
     x = F.col("embedding")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
-    v = F.transform(x, lambda c: F.floor(SCALE * c.cast("double")).cast("double"))
-    rows = rows.filter(fine).select(F.col("vec_id").cast("long"), v.alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
+    fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * SCALE) < float("inf"))), F.lit(False))
+    # from 2^53 on a double is a whole number, and beyond 2^63 floor() would cut it
+    whole = lambda c: F.when(F.abs(c) < EXACT, F.floor(c).cast("double")).otherwise(c)
+    rows = rows.filter(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: whole(SCALE * c.cast("double"))).alias("v"))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
+    bucket = F.when(F.col("norm") == 0, -1).when(F.col("norm") == float("inf"), 1024 * BUCKETS).otherwise(F.floor(F.log2("norm") * BUCKETS))
+    return rows.withColumn("bucket", bucket.cast("int"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -38,11 +45,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _large(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether some product might not be exact in doubles."""
+    return bool(len(q) and len(x)) and not q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < EXACT
+
+
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products [queries, vectors] as int64 (of absolute value below 2**63)."""
-    if len(q) and len(x) and q.shape[1] * np.abs(q).max() * np.abs(x).max() < EXACT:
+    """Integer inner products [queries, vectors] as int64: exact, cut to the range of int64."""
+    if not _large(q, x):
         return (q @ x.T).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for s in x] for r in q], np.int64).reshape(len(q), len(x))
+    whole = lambda m: np.array([[int(c) for c in r] for r in m], object).reshape(m.shape)
+    return np.clip(whole(q) @ whole(x).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -61,12 +74,13 @@ def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x
     Length pruning leaves out a query whose floor exceeds |q| times the bucket's greatest length. Its local threshold is
     the cosine that a vector of that length needs; where it is high, coordinate pruning leaves out vectors whose product
     over the query's largest coordinates, with Cauchy and Schwarz for the others, stays below the floor. The rest is
-    verified by whole products."""
+    verified by whole products. Nothing is pruned where products might not be exact in doubles."""
+    if _large(q, x):
+        floor = np.full(len(q), -np.inf)
     out = []
     qn, xn = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     top = xn.max(initial=0.0)
-    slack = 1 + 1e-9
-    live = np.flatnonzero(qn * top * slack >= floor)
+    live = np.flatnonzero((qn * top * SLACK >= floor) | (floor == -np.inf))
     cosine = floor[live] / np.maximum(qn[live] * top, 1e-300)
     tight = cosine > 0.5
     for i in live[tight]:
@@ -75,7 +89,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x
         rest_q = np.sqrt(max(qn[i] ** 2 - (q[i, focus] ** 2).sum(), 0.0))
         rest_x = np.sqrt(np.maximum(xn**2 - (part * part).sum(axis=1), 0.0))
         bound = part @ q[i, focus] + rest_q * rest_x
-        near = np.flatnonzero((bound + 1e-9 * (np.abs(bound) + qn[i] * top) >= floor[i]) & (x_ids != q_ids[i]))
+        near = np.flatnonzero((bound + (SLACK - 1) * (np.abs(bound) + qn[i] * top) >= floor[i]) & (x_ids != q_ids[i]))
         out += _kept(q_ids[i], _products(q[i : i + 1], x[near])[0], x_ids[near], floor[i], k)
     loose = live[~tight]
     score = _products(q[loose], x)
@@ -93,56 +107,56 @@ def _kept(query: int, score: np.ndarray, ids: np.ndarray, floor: float, k: int)
 def top_k(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with is_query its k highest integer inner products with all others.
 
-    Vectors are dealt into buckets of similar length, each bucket into cells of at most about CELL rows. Queries travel in
-    blocks: first to the cell of the longest vectors, whose k-th score is a floor for the query, then with that floor to
-    every cell. A vector shorter than a query counts as filled up with zeros. Repeated rows and ids are each a candidate,
-    except for queries of the same id; a repeated query id ranks the candidates of all its rows together, each as often as it
-    has rows. With no candidates there are no rows for a query."""
-    all_ = stored(vectors(rows))
-    stats = all_.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).collect()[0]
-    n, width = stats["n"], stats["width"] or 0
-    cells = max(1, -(-n // CELL))
-    # edges of equally filled length buckets: so many numbers reach the driver
-    edges = sorted(set(all_.approxQuantile("norm", [i / cells for i in range(1, cells)], 0.25 / cells))) if cells > 1 else []
-    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("norm"))) if edges else F.lit(0)
-    dealt = all_.withColumn("bucket", at)
-    sizes = {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}
-    split = F.create_map(*[F.lit(x) for b, c in sizes.items() for x in (b, max(1, -(-c // CELL)))]) if sizes else None
-    cell = F.pmod(F.xxhash64("vec_id"), split[F.col("bucket")]).cast("int") if sizes else F.lit(0)
-    dealt = stored(dealt.withColumn("cell", F.concat_ws(".", "bucket", cell)))
-    names = sorted((f"{b}.{c}" for b, n in sizes.items() for c in range(max(1, -(-n // CELL)))), key=lambda s: [-int(x) for x in s.split(".")])
-    queries = dealt.filter(is_query).select("vec_id", "v", F.lit(float("-inf")).alias("floor"))
+    Vectors are dealt into buckets of similar length and these by hash into cells of about CELL rows. Queries travel in
+    blocks: first to one cell of long vectors, whose k-th score is a floor for the query, then with that floor to the cells
+    of those buckets whose greatest length can still reach it. A vector shorter than a query counts as filled up with
+    zeros. Each row is a candidate, repeated rows and ids too, except for queries of the same id; a repeated query id ranks
+    the candidates of all its rows together, each as often as it has rows. Scores beyond the range of long are cut to it.
+    With no candidates there are no rows for a query."""
+    all_ = stored(vectors(rows).withColumn("_h", F.xxhash64("vec_id", F.monotonically_increasing_id())))
+    stats = all_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.max(F.size("v")).alias("width")).collect()  # a row a bucket
+    if not stats:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(r["width"] for r in stats)
+    cells = lambda n: max(1, -(-n // CELL))
+    of = F.array(*[F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(r["top"]).alias("top"), F.lit(cells(r["n"])).alias("cells")) for r in stats])
+    split = F.create_map(*[F.lit(x) for r in stats for x in (r["bucket"], cells(r["n"]))])
+    dealt = stored(all_.withColumn("cell", F.pmod("_h", split[F.col("bucket")]).cast("int")))
+    queries = dealt.filter(is_query).select("vec_id", "v", "norm", "_h")
     blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    first = _search(queries, dealt, names[:1], k, width, blocks)
-    floors = first.groupBy("vec_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
-    floors = stored(floors.select("vec_id", F.when(F.col("n") >= k, F.col("low").cast("double")).alias("low")))
-    queries = queries.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("low", "floor").alias("floor"), "block")
-    found = _search(queries, dealt, names, k, width, blocks)
-    best_ = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("other").alias("o")))), 1, k)
-    ranked = found.groupBy("vec_id").agg(best_.alias("b")).select(F.col("vec_id").alias("query_id"), F.posexplode("b").alias("p", "x"))
-    return ranked.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.o").alias("vec_id"), (-F.col("x.s")).alias("score"))
-
-
-def _search(queries: DataFrame, dealt: DataFrame, names: list[str], k: int, width: int, blocks: int) -> DataFrame:
-    """(vec_id, other, score) of every query block in the named cells, at most k a cell and query."""
-    if not names:
-        return queries.sparkSession.createDataFrame([], "vec_id long, other long, score long")
-    q = queries.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("cell"), "block", "vec_id", "v", "floor")
-    x = dealt.filter(F.col("cell") == names[0]) if len(names) == 1 else dealt
-    x = x.select("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("id"), F.col("v").alias("x"))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("_h"), F.lit(blocks)).cast("int"))
+    # the longest bucket that has vectors enough for a floor
+    first = max(stats, key=lambda r: (min(r["n"], 4 * k), r["bucket"]))["bucket"]
+    start = queries.withColumns({"floor": F.lit(float("-inf")), "bucket": F.lit(first), "cell": F.lit(0)})
+    got = _search(start, dealt.filter((F.col("bucket") == first) & (F.col("cell") == 0)), k, width, blocks)
+    floors = got.groupBy("vec_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # k a row of the query
+    floors = stored(floors.select("vec_id", F.get("s", F.lit(k - 1)).cast("double").alias("low")))
+    queries = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("low", F.lit(float("-inf"))))
+    near = F.filter(of, lambda b: (F.col("floor") == float("-inf")) | (F.col("norm") * b["top"] * SLACK >= F.col("floor")))
+    spread = queries.withColumn("b", F.explode(near)).withColumn("bucket", F.col("b.bucket")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("b.cells") - 1)))
+    found = _search(spread, dealt, k, width, blocks)
+    order = Window.partitionBy("vec_id").orderBy(F.col("score").desc(), "other")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("vec_id").alias("query_id"), "rank", F.col("other").alias("vec_id"), "score")
+
+
+def _search(queries: DataFrame, dealt: DataFrame, k: int, width: int, blocks: int) -> DataFrame:
+    """(vec_id, other, score) of the queries (vec_id, v, floor, block) in their cells (bucket, cell), at most k of each."""
+    q = queries.select("bucket", "cell", "block", "vec_id", "v", "floor")
+    x = dealt.select("bucket", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("id"), F.col("v").alias("x"))
 
     def run(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
         got = []
         if len(one) and len(two):
             ids, floor, qids = two.column("id").to_numpy(), one.column("floor").to_numpy(), one.column("vec_id").to_numpy()
-            xm, qm = (_matrix(t.column(c).combine_chunks(), width) for t, c in ((two, "x"), (one, "v")))
+            xm, v = _matrix(two.column("x").combine_chunks(), width), one.column("v").combine_chunks()
             for at in range(0, len(qids), STEP):
                 s = slice(at, at + STEP)
-                got += search(qm[s], qids[s], floor[s], xm, ids, k)
+                got += search(_matrix(v[s], width), qids[s], floor[s], xm, ids, k)
         return pa.table([pa.array([g[i] for g in got], pa.int64()) for i in range(3)], names=["vec_id", "other", "score"])
 
-    return q.groupBy("cell", "block").cogroup(x.groupBy("cell", "block")).applyInArrow(run, "vec_id long, other long, score long")
+    keys = ("bucket", "cell", "block")
+    return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(run, "vec_id long, other long, score long")
 
 
 def op10_norm_bucket_top_k(spark, sf_dir) -> DataFrame:
