@@ -34,7 +34,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 #: Bytes of text that are cut into units at once, and distinct units that a worker process remembers.
-SLICE, REMEMBER = 1 << 24, 1_000_000
+SLICE, REMEMBER = 1 << 22, 700_000
 #: Classes of bytes: 0 white space, 1 letters, 2 punctuation that ends a run of letters, 3 whatever else.
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
