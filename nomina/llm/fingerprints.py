@@ -94,7 +94,8 @@ def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketch of each document and of its edited text; likeness to the edited text and to the next document."""
+    """Sketch of each document and of its edited text; likeness to the edited text and to the next document; how much of the
+    document the edited text holds; distinct shingles of the document and, from the merged sketch, of it and the next."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs.withColumn("sketch", sketch(F.col("text"))), ["text", "sketch"])
     n = F.length("text")
@@ -110,4 +111,7 @@ def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_by_edit"),
+        distinct_shingles(F.col("sketch")).alias("n_distinct"),
+        distinct_shingles(merge(F.col("sketch"), F.col("next_sketch"))).alias("n_distinct_with_next"),
     )
