@@ -18,8 +18,9 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: What an unknown character scores below the least piece.
 PENALTY = 10.0
-#: Distinct words remembered, and characters of new words that are searched at once.
-REMEMBER, CHUNK = 600_000, 400_000
+#: Distinct words that a worker process remembers, characters of new words that are searched at once, and the length from
+#: which a word is searched by itself: side by side, words cost as many steps as the longest has characters.
+REMEMBER, CHUNK, LONG = 800_000, 400_000, 512
 #: White space between words: the code points with the Unicode property White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = re.compile(f"[{SPACE}]+")
@@ -56,6 +57,9 @@ class Counter:
         if len(seen) > REMEMBER:
             seen.clear()
         new = sorted(set(words).difference(seen), key=len)
+        while new and len(new[-1]) >= LONG:
+            word = new.pop()
+            seen[word] = self._count_long(word)
         at = 0
         while at < len(new):
             to, size = at, 0
@@ -66,6 +70,30 @@ class Counter:
             at = to
         return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
+    def _count_long(self, word: str) -> int:
+        """One word, match after match by ascending end, longer ones first."""
+        marked = MARK + word
+        best, count, fused = [-math.inf] * (len(marked) + 1), [0] * (len(marked) + 1), [False] * (len(marked) + 1)
+        best[0] = 0.0
+
+        def take(j: int, i: int, score: float, unknown: bool) -> None:
+            if best[i] + score > best[j]:
+                best[j], count[j], fused[j] = best[i] + score, count[i] + (not (unknown and fused[i])), unknown
+
+        now, known = 1, False  # the end at hand, and whether a piece of one character ends there
+        for e, (n, score, unknown) in self.find.iter(marked):
+            while now <= e:
+                if not known:
+                    take(now, now - 1, self.unknown, True)
+                now, known = now + 1, False
+            take(now, now - n, score, unknown)
+            known |= n == 1
+        for j in range(now, len(marked) + 1):
+            if not known:
+                take(j, j - 1, self.unknown, True)
+            known = False
+        return count[-1]
+
     def _count(self, words: list[str]) -> np.ndarray:
         """All words side by side: their matches come from one search; then position after position takes its best match.
 
@@ -118,6 +146,16 @@ class Counter:
         return count[sizes, np.arange(len(words))]
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str) -> Counter:
+    """This process's counter for a vocabulary file: tasks that share a worker process share what it remembers."""
+    if path not in _counters:
+        _counters[path] = Counter(zipf_vocabulary(path))
+    return _counters[path]
+
+
 def split(text: str) -> list[str]:
     return [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
 
@@ -128,11 +166,11 @@ def count(docs: DataFrame, path: str) -> DataFrame:
     A null or empty text has 0 of both; repeated rows and null ids are kept; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(zipf_vocabulary(path))
+        pieces = counter(path)
         for batch in batches:
             words = [split(t or "") for t in batch.column(1).to_pylist()]
             sizes = np.array([len(w) for w in words], np.int64)
-            each = counter([w for own in words for w in own])
+            each = pieces([w for own in words for w in own])
             total = np.concatenate([[0], np.cumsum(each)])
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total[ends] - total[ends - sizes])], names=["doc_id", "n_words", "n_tokens"])
