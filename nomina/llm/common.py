@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java and RE2 pattern of a word: code points other than ASCII white space.
@@ -24,21 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="nomina-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where
+    """The folder that the cluster names in spark.checkpoint.dir; where none is set, one in the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return where or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/nomina-checkpoints"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage is cut and outlives lost executors.
 
-    The table is removed when the driver ends."""
+    The table is removed when the driver ends, or by release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nomina-{uuid.uuid4().hex}"
     schema = df.schema
@@ -49,11 +42,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(docs: DataFrame) -> None:
+    """Removes the tables that stored() wrote so far, and lets Spark remove shuffles that nothing refers to any more; for
+    use between jobs, when their results are written. Does nothing if docs reads such a table."""
+    if any("/nomina-" in f for f in docs.inputFiles()):
+        return
+    _sweep()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _sweep() -> None:
-    for spark, path in _written:
+    while _written:
+        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended
             return
@@ -71,15 +73,21 @@ def unit_hash_sql(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
-def sampled(rows: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, _h) of the `limit` distinct ids of rows with the smallest hash.
+def sampled(rows: DataFrame, limit: int, size: int) -> DataFrame:
+    """Rows (doc_id, text, label) of the `limit` ids with the smallest hash, with that as _h, as long as the texts before
+    one come to fewer than `size` characters: what reaches the driver is bounded in both. Of rows with one id the one with
+    the least label and text counts.
 
-    The hash first thins the ids to about twice the limit, so that what tasks send to the driver is bounded too."""
+    The hash first thins the ids to about twice the limit, so that what tasks send on is bounded too."""
     ids = rows.select("doc_id").distinct().withColumn("_h", F.xxhash64("doc_id"))
     n = ids.count()
     if n > 4 * limit:
         ids = ids.filter(F.col("_h") < int(2**64 * (2 * limit / n)) - 2**63)
-    return ids.orderBy("_h", "doc_id").limit(limit)
+    ids = ids.orderBy("_h", "doc_id").limit(limit)
+    found = rows.select("doc_id", "text", "label").join(F.broadcast(ids), "doc_id")  # `limit` ids
+    found = found.groupBy("_h", "doc_id").agg(F.min(F.struct("label", "text")).alias("x")).select("_h", "doc_id", "x.label", "x.text")
+    order = Window.orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over `limit` rows
+    return found.withColumn("_n", F.coalesce(F.sum(F.length("text").cast("long")).over(order), F.lit(0))).filter(F.col("_n") < size).drop("_n")
 
 
 def octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from nomina.llm import gru
 from nomina.llm.common import octets, sampled, table
 
-#: Most labelled documents that the network is fitted on: those of the smallest hash of the id.
-TRAIN_DOCS = 3000
+#: Most labelled documents that the network is fitted on, those of the smallest hash of the id, and their characters.
+TRAIN_DOCS, TRAIN_CHARS = 3000, 1 << 26
 HIDDEN, SPAN, BATCH, STEPS, RATE = 8, 64, 128, 260, 0.02
 #: Bytes that a lane labels, and those before and after them that only warm up the states.
 CORE, WARM, LANES = 224, 16, 2048
@@ -122,10 +122,9 @@ class Scorer:
 def fit(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model | None:
     """A model from docs' (doc_id, text, lang) where crc32(doc_id) mod 4 isn't 2, lang isn't null and text isn't empty."""
     rows = docs.filter(~_held(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    ids = sampled(rows, limit)  # at most `limit` ids
-    found = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").collect()
-    found = sorted(found, key=lambda r: (r._h, r.doc_id, r.lang, r.text))[:limit]
-    return train([r.text.encode() for r in found], [r.lang for r in found])
+    found = sampled(rows.select("doc_id", "text", F.col("lang").alias("label")), limit, TRAIN_CHARS).collect()
+    found.sort(key=lambda r: (r._h, r.doc_id))
+    return train([r.text.encode() for r in found], [r.label for r in found])
 
 
 def _held(doc_id):

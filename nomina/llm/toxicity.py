@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from nomina.llm import gru
 from nomina.llm.common import sampled, table, texts
 
-#: Most labelled documents of each label that the network is fitted on: those of the smallest hash of the id.
-TRAIN_DOCS = 2000
+#: Most labelled documents of each label that the network is fitted on, those of the smallest hash of the id, and their
+#: characters.
+TRAIN_DOCS, TRAIN_CHARS = 2000, 1 << 26
 #: Words in a window and from one window's start to the next: every word but the outermost lies in two windows.
 WINDOW, STRIDE = 48, 24
 #: Letters of a word; longer runs of letters are several words.
@@ -277,9 +278,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model |
     known = labels.filter(~_held(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = []
     for y in (0, 1):
-        ids = sampled(known.filter(F.col("toxic") == y), limit)
-        found = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "_h", "doc_id")  # `limit` ids
-        rows += [(r.text.encode(), y) for r in sorted(found.collect(), key=lambda r: (r._h, r.doc_id, r.text))[:limit]]
+        ids = known.filter(F.col("toxic") == y).select("doc_id", F.col("toxic").alias("label"))
+        found = sampled(docs.filter("text IS NOT NULL").select("doc_id", "text").join(ids, "doc_id"), limit, TRAIN_CHARS)
+        rows += [(r.text.encode(), y) for r in sorted(found.collect(), key=lambda r: (r._h, r.doc_id))]
     return train(rows)
 
 
