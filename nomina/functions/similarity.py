@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -48,13 +49,16 @@ _LONG = sorted(e for e in vocab.EPONYMS if len(e) >= 7 and " " not in e)
 _EPONYMS = frozenset(vocab.EPONYMS)
 
 
+@functools.lru_cache(200_000)
 def eponym_of(token: str) -> str | None:
     """The eponym that a token names: exactly, or at 7 letters and more by a likeness of 90."""
     if token in _EPONYMS:
         return token
     if len(token) < 7:
         return None
-    best = max(_LONG, key=lambda e: indel_ratio(token, e))
+    n = len(token)
+    near = [e for e in _LONG if 200 * min(n, len(e)) >= 90 * (n + len(e))]  # the others can't be that much alike
+    best = max(near, key=lambda e: indel_ratio(token, e), default="")
     return best if indel_ratio(token, best) >= 90 else None
 
 

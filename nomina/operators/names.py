@@ -9,6 +9,7 @@ from nomina import vocab
 from nomina.functions import text as T
 from nomina.functions.similarity import token_sort_ratio
 from nomina.operators.minors import BINDINGS
+from nomina.sources.tables import stored
 
 _TIERS = ["", "low", "medium", "high"]
 
@@ -52,23 +53,29 @@ def merge_inverted(hits: DataFrame) -> DataFrame:
 def duplicate_pairs(names: DataFrame, threshold: float = vocab.FUZZY) -> DataFrame:
     """(a, b, ratio), a < b: keys whose token-sorted forms have an indel likeness of threshold or more.
 
-    Two such strings share at least max - 1 - 4 (1 - t) max bigrams; above a threshold of 75 that is positive for any
-    length over 1, so an equal bigram is necessary, and a count below the bound excludes a pair. Repeated bigrams count by
-    occurrence. Strings of one character pair by equality, which the bound covers through the whole string as a bigram."""
-    if threshold <= 75:
-        raise ValueError("the bigram bound needs a threshold over 75")
-    rows = names.select("name_key", F.array_join(F.array_sort(T.tokens(F.col("name_key"))), " ").alias("s")).withColumn("n", F.length("s"))
-    grams = F.when(F.col("n") < 2, F.array("s")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda i: F.substring(F.col("s"), i, F.lit(2))))
-    each = rows.select("name_key", "s", "n", F.explode(grams).alias("g"))
-    counts = each.groupBy("name_key", "s", "n", "g").agg(F.count(F.lit(1)).alias("m"))
-    grams = counts.select("name_key", "s", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("m").cast("int")), lambda i: F.concat_ws("\x00", "g", i))).alias("g"))
+    Strings of lengths m and n at a likeness of t have at most (1 - t) (m + n) characters inserted or deleted. One deleted
+    costs a string two of its bigrams at most, one inserted one; so they share (1.5 t - 1) (m + n) - 1 bigrams at least,
+    repeated ones counted by occurrence. With all bigrams in one order, the rarest first, two strings that share k of
+    them share one among the first (bigrams - k + 1) of each: only those are joined, so common bigrams are mostly left out.
+    Where the bound is not positive the strings are short, and their characters are joined too."""
     t = threshold / 100.0
-    a = grams.select(F.col("name_key").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), "g")
-    b = grams.select(F.col("name_key").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "g")
-    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (t / (2 - t)))
-    pairs = a.join(b, "g").filter(fit).groupBy("a", "b", "sa", "sb", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    most = F.greatest("na", "nb")
-    pairs = pairs.filter(F.col("common") >= F.greatest(F.lit(1.0), (most - 1) - 4 * (1 - t) * most))
+    share = 1.5 * t - 1
+    if share <= 0:
+        raise ValueError("the bigram bound needs a threshold over 66.7")
+    rows = names.select("name_key", F.array_join(F.array_sort(T.tokens(F.col("name_key"))), " ").alias("s")).withColumn("n", F.length("s")).filter("n > 0")
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda i: F.substring(F.col("s"), i, F.lit(2)))
+    each = rows.select("name_key", "s", "n", F.explode(pieces).alias("g")).groupBy("name_key", "s", "n", "g").agg(F.count(F.lit(1)).alias("m"))
+    each = each.select("name_key", "s", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("m").cast("int")), lambda i: F.concat_ws("\x00", "g", i))).alias("g"))
+    each = each.join(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")), "g")
+    least = F.greatest(F.lit(1.0), F.ceil(share * F.col("n") * (2 / (2 - t)) - 1 - 1e-9)).cast("int")  # with the shortest partner
+    grams = F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"])
+    first = each.groupBy("name_key", "s", "n").agg(grams.alias("g")).withColumn("g", F.slice("g", 1, F.greatest(F.size("g") - least + 1, F.lit(1))))
+    letters = F.transform(F.array_distinct(F.split("s", "")), lambda x: F.concat(F.lit("\x01"), x))
+    first = first.withColumn("g", F.when(F.col("n") <= 1 / share, F.concat("g", letters)).otherwise(F.col("g")))
+    first = stored(first.select("name_key", "s", "n", F.explode("g").alias("g")))
+    a, b = (first.select(F.col("name_key").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"), "g") for x in "ab")
+    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") * (2 - t) >= F.greatest("na", "nb") * t - 1e-9)
+    pairs = a.join(b, "g").filter(fit).select("a", "b", "sa", "sb").distinct()
     return pairs.withColumn("ratio", token_sort_ratio("sa", "sb")).filter(F.col("ratio") >= threshold).select("a", "b", "ratio")
 
 

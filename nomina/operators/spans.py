@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from nomina import vocab
-from nomina.functions import text as T
-from nomina.functions.similarity import gazetteer_token
+from nomina.functions.similarity import fold_token
 
+#: A capitalised token, and what a text is cut into: runs of such tokens, or stretches without one.
 _CAP = r"\p{Lu}[\w'’.\-]*"
-_PIECES = rf"(?U){_CAP}(?:[ \t]*{_CAP})*|{T.NAME_TOKEN}|[\W\d_]+"
+_TOKEN = regex.compile(_CAP)
+_RUNS = regex.compile(rf"(?:(?!\p{{Lu}})(?:[^\W\d_][\w'’.\-]*|[\W\d_]+))++|({_CAP}(?:[ \t]*{_CAP})*)")
 #: Names of span sources: each takes units (unit_id, text) and returns (unit_id, start, end, entity, score, recognizer).
 SOURCES: dict = {}
 
@@ -25,32 +29,41 @@ def register(name: str, source) -> None:
 
 
 def capitalised_runs(units: DataFrame) -> DataFrame:
-    """(unit_id, run, start, token, pos): tokens with offsets of the runs of two or more capitalised tokens.
-
-    Only spaces and tabs stand within a run; a token that ends in a period with three letters or more ends its run. The
-    text is cut without loss into runs, other tokens and gaps, so offsets are running lengths; no window is needed."""
-    pieces = F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0))
-    at = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<s:int,t:string>>)").alias("runs")),
-        lambda acc, p: F.struct((acc["pos"] + F.length(p)).alias("pos"), F.when(p.rlike(rf"(?U)^\p{{Lu}}[^ \t]*[ \t]") | p.rlike(r"\..*\p{Lu}"), F.concat(acc["runs"], F.array(F.struct(acc["pos"].alias("s"), p.alias("t"))))).otherwise(acc["runs"]).alias("runs")),
-    )
-    runs = units.filter(F.col("text").rlike(r"\p{Lu}")).select("unit_id", F.explode(at["runs"]).alias("r"))
-    parts = F.regexp_extract_all("r.t", F.lit(rf"(?U){_CAP}|[ \t]+"), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<run:int,start:int,token:string>>)")
-
-    def step(acc: Column, p: Column) -> Column:
-        word = p.rlike(r"^\p{Lu}")
-        closes = word & p.endswith(".") & (F.regexp_count(p, F.lit(r"\p{L}")) >= 3)
-        return F.struct(
-            (acc["pos"] + F.length(p)).alias("pos"),
-            F.when(closes, acc["run"] + 1).otherwise(acc["run"]).alias("run"),
-            F.when(word, F.concat(acc["out"], F.array(F.struct(acc["run"].alias("run"), acc["pos"].alias("start"), p.alias("token"))))).otherwise(acc["out"]).alias("out"),
-        )
-
-    toks = F.aggregate(parts, F.struct(F.col("r.s").alias("pos"), F.lit(0).alias("run"), empty.alias("out")), step)["out"]
-    rows = runs.select("unit_id", F.col("r.s").alias("at"), F.explode(toks).alias("k"))
-    return rows.select("unit_id", F.struct("at", "k.run").alias("run"), F.col("k.start"), F.col("k.token"))
+    """(unit_id, run, start, token, norm): tokens with offsets of the runs of two or more capitalised tokens, and folded.
+
+    Only spaces and tabs stand within a run; a token that ends in a period with three letters or more ends its run. One
+    Arrow pass over a unit's text, its tokens folded once a word."""
+    key = units.schema["unit_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded: dict[str, str] = {}
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for unit, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = 0
+                for m in _RUNS.finditer(text or ""):
+                    if m[1] is None:
+                        continue
+                    tokens: list[tuple[int, str]] = []
+                    for t in [*_TOKEN.finditer(m[1]), None]:
+                        if t is not None:
+                            tokens.append((m.start() + t.start(), t[0]))
+                            if not (t[0].endswith(".") and sum(c.isalpha() for c in t[0]) >= 3):
+                                continue
+                        n += 1
+                        if len(tokens) > 1:
+                            for col, v in zip(out, zip(*((unit, n, at, w) for at, w in tokens), strict=True), strict=True):
+                                col.extend(v)
+                        tokens = []
+            for w in set(out[3]).difference(folded):
+                folded[w] = fold_token(w)
+            norm = [folded[w] for w in out[3]]
+            if len(folded) > 200_000:
+                folded.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(c, k) for c, k in zip((*out[1:], norm), (pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True))], names=["unit_id", "run", "start", "token", "norm"])
+
+    rows = units.filter(F.col("text").rlike(r"\p{Lu}")).select("unit_id", "text")
+    return rows.mapInArrow(run, f"unit_id {key.dataType.simpleString()}, run int, start int, token string, norm string")
 
 
 def gazetteer_spans(units: DataFrame, names: DataFrame, ambiguous: DataFrame | None = None, min_matches: int = 2, score: float = vocab.DICTIONARY_SCORE) -> DataFrame:
@@ -58,7 +71,7 @@ def gazetteer_spans(units: DataFrame, names: DataFrame, ambiguous: DataFrame | N
 
     A hyphenated token matches by a part. names and ambiguous have one folded token a row (token); they join by hash, so
     their size is not bounded by memory."""
-    toks = capitalised_runs(units).withColumn("norm", gazetteer_token("token"))
+    toks = capitalised_runs(units)
     forms = F.array_distinct(F.concat(F.array("norm"), F.filter(F.split("norm", "-"), lambda p: p != "")))
     each = toks.withColumn("token_form", F.explode(F.when(F.col("norm").contains("-"), forms).otherwise(F.array("norm"))))
     each = each.join(names.select(F.col("token").alias("token_form"), F.lit(1).alias("hit")).distinct(), "token_form", "left")

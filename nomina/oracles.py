@@ -41,7 +41,7 @@ def oracle_sql(spans: list[tuple]) -> dict[str, str]:
         "resume_antijoin": """SELECT DISTINCT source AS file, (doc_id // 100 * 100 + 1)::INTEGER AS start_page, (doc_id // 100 * 100 + 100)::INTEGER AS end_page FROM documents
           WHERE (doc_id // 100 * 100 + 1) % 200 <> 1""",
         "name_rollup": f"""WITH {_LINES}, hits AS (
-          SELECT l.doc_id * 100000 + line_no AS seq, source, l.doc_id % 3 = 0 AS odd, {_NORM} AS raw FROM lines l JOIN documents USING (doc_id) WHERE length(line) BETWEEN 3 AND 40)
+          SELECT l.doc_id * 100000 + line_no AS seq, source, l.doc_id % 3 = 0 AS odd, {_NORM} AS raw FROM lines l JOIN documents USING (doc_id))
           SELECT lower(raw) AS name_key, arg_max(raw, length(raw) * 1000000000000 - seq) AS display, count(*) AS occurrence_count, count(*) FILTER (odd) AS suppressed_count,
           concat_ws(',', CASE WHEN bool_or(odd) THEN 'gazetteer' END, CASE WHEN bool_or(NOT odd) THEN 'spacy' END) AS recognizers, count(DISTINCT source)::INTEGER AS file_count
           FROM hits WHERE raw <> '' GROUP BY lower(raw)""",

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from nomina.functions import text as T
 from nomina.operators import minors, scoring, spans, suppression, units
+from nomina.sources.tables import stored
+
+#: Characters to either side of a place that it is judged by; no rule but that of joined names reads more than 80.
+AROUND = 400
 
 
 def detect(pages: DataFrame, names: DataFrame, ambiguous: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
@@ -28,22 +32,31 @@ def hits(pages: DataFrame, names: DataFrame, as_of: int, ambiguous: DataFrame |
     """(seq, file, page_num, raw_name, score, boosted, minor_ctx, minor_tier, minor_reason, recognizer, minor_binding,
     suppressed, suppress_reason, raw_surface).
 
-    A surface is judged wherever it stands on its page, else in its unit: the first clean place clears it, else the last
-    place's verdict stands; the greatest boost and the strongest binding count."""
-    rows = detect(pages, names, ambiguous, cells).withColumn("name", T.sanitize(F.col("raw"))).withColumn("name_key", T.dedup_key(F.col("name")))
+    A prose surface is judged where it stands; any other wherever it stands on its page, else in its unit. The first clean
+    place clears it, else the last place's verdict stands; the greatest boost and the strongest binding count. A surface
+    that is debris alone keeps its form, so that it is held back with that reason."""
+    rows = detect(pages, names, ambiguous, cells).withColumn("surface", T.normalize_name(F.col("raw")))
+    rows = rows.withColumn("name", T.let(T.sanitize(F.col("raw")), lambda n: F.when(n != "", n).otherwise(F.col("surface"))))
+    rows = rows.withColumn("name_key", T.dedup_key(F.col("name")))
     rows = rows.filter("name_key != ''").withColumn("is_variant", F.col("kind").isin("truecase", "flipped"))
-    rows = units.first_variants(rows).withColumn("hit", F.xxhash64("file", "page_num", "seq", "kind", "raw"))
-    there = rows.join(pages.select("file", "page_num", F.col("text").alias("page")), ["file", "page_num"])
-    there = there.withColumn("places", spans.locate_all("page", "raw"))
+    rows = stored(units.first_variants(rows).withColumn("hit", F.xxhash64("file", "page_num", "seq", "kind", "raw")))
     own = F.array(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))
-    there = there.withColumns({"on_page": F.size("places") > 0, "places": F.when(F.size("places") > 0, F.col("places")).otherwise(own)})
+    prose = rows.filter("kind = 'prose'").withColumns({"on_page": F.lit(True), "places": own})
+    other = rows.filter("kind != 'prose'").join(pages.select("file", "page_num", F.col("text").alias("page")), ["file", "page_num"])
+    other = other.withColumn("places", spans.locate_all("page", "raw")).withColumn("on_page", F.size("places") > 0)
+    other = other.withColumn("places", F.when(F.col("on_page"), F.col("places")).otherwise(own)).withColumn("source", F.when(F.col("on_page"), F.col("page")).otherwise(F.col("source")))
+    there = prose.unionByName(other.drop("page"))
     spans_of = there.filter("on_page").select("file", "page_num", F.explode("places").alias("p"))
-    spans_of = spans_of.groupBy("file", "page_num").agg(F.collect_set(F.struct(F.col("p.start").alias("s"), F.col("p.end").alias("e"))).alias("page_spans"))
-    c = there.join(spans_of, ["file", "page_num"], "left").withColumn("ctx", F.when(F.col("on_page"), F.col("page")).otherwise(F.col("source")))
-    mine = F.transform("places", lambda p: F.struct(p["start"].alias("s"), p["end"].alias("e")))
-    c = c.withColumn("spans", F.when(F.col("on_page"), F.col("page_spans")).otherwise(mine))
-    c = c.select("hit", "name", "raw", "file", "page_num", "seq", "score", "recognizer", "col_role", "overlaps", "ctx", "spans", F.posexplode("places").alias("n", "p"))
-    c = c.withColumns({"start": F.col("p.start"), "end": F.col("p.end")})
+    spans_of = spans_of.groupBy("file", "page_num").agg(F.array_sort(F.collect_set(F.struct(F.col("p.start").alias("s"), F.col("p.end").alias("e")))).alias("page_spans"))
+    # a place takes only its surroundings along: what is judged reaches no further, but for names joined to one beyond them
+    low = lambda p: F.greatest(p["start"] - AROUND, F.lit(0))
+    cut = lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), low(p).alias("low"), F.substring(F.col("source"), low(p) + 1, p["end"] + AROUND - low(p)).alias("ctx"))
+    c = there.withColumn("places", F.transform("places", cut)).drop("source").join(spans_of, ["file", "page_num"], "left")
+    c = c.select("hit", "name", "surface", "file", "page_num", "seq", "score", "recognizer", "col_role", "overlaps", "on_page", "page_spans", F.posexplode("places").alias("n", "p"))
+    inside = F.filter("page_spans", lambda x: (x["s"] >= F.col("p.low")) & (x["s"] < F.col("p.end")))
+    mine = F.array(F.struct(F.col("p.start").alias("s"), F.col("p.end").alias("e")))
+    moved = F.transform(F.when(F.col("on_page"), inside).otherwise(mine), lambda x: F.struct((x["s"] - F.col("p.low")).alias("s"), (x["e"] - F.col("p.low")).alias("e")))
+    c = c.select(*[x for x in c.columns if x not in ("on_page", "page_spans", "p")], F.col("p.ctx").alias("ctx"), (F.col("p.start") - F.col("p.low")).alias("start"), (F.col("p.end") - F.col("p.low")).alias("end"), moved.alias("spans"))
     if denylist is not None:
         denied = suppression.denylist_detail(rows.select("hit", "name"), ["hit"], "name", denylist)
         c = c.join(denied, "hit", "left")
@@ -55,7 +68,7 @@ def hits(pages: DataFrame, names: DataFrame, as_of: int, ambiguous: DataFrame |
     c = c.withColumn("binding", minors.binding(F.col("ctx"), F.col("spans"), F.col("start"), F.col("end"), F.col("reasons"), F.col("col_role"), as_of))
     kinds = F.array(*[F.lit(b) for b in minors.BINDINGS])
     judged = F.when(F.col("suppress_reason") != "", F.left(F.concat_ws("|", "suppress_reason", "suppress_detail"), F.lit(200))).otherwise("")
-    per = c.withColumn("judged", judged).groupBy("hit", "name", "raw", "file", "page_num", "seq", "score", "recognizer").agg(
+    per = c.withColumn("judged", judged).groupBy("hit", "name", "surface", "file", "page_num", "seq", "score", "recognizer").agg(
         F.max("boost").alias("boost"),
         F.element_at(kinds, F.max(F.array_position(kinds, F.col("binding"))).cast("int")).alias("minor_binding"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"),
@@ -79,5 +92,5 @@ def hits(pages: DataFrame, names: DataFrame, as_of: int, ambiguous: DataFrame |
         "minor_binding",
         F.col("suppressed").cast("int").alias("suppressed"),
         F.when(F.col("suppressed"), F.col("judged")).otherwise("").alias("suppress_reason"),
-        F.left("raw", F.lit(200)).alias("raw_surface"),
+        F.left("surface", F.lit(200)).alias("raw_surface"),
     )

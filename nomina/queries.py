@@ -111,8 +111,10 @@ def page_ranges(spark, sf_dir):
 
 
 def page_lists(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("doc_id").alias("pages"))
-    return rows.select("source", T.compress_pages(F.col("pages")).alias("pages"))
+    runs = scoring.runs_of(_table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id")
+    one = F.when(F.col("low") == F.col("high"), F.concat(F.lit("p"), "low")).otherwise(F.concat(F.lit("p"), "low", F.lit("-p"), "high"))
+    per = runs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("low", one.alias("r")))).alias("rs"))
+    return per.select("source", F.array_join(F.transform("rs", lambda x: x["r"]), ",").alias("pages"))
 
 
 def _words_of(spark, sf_dir):
@@ -237,8 +239,7 @@ def _doc_hits(spark, sf_dir):
 
 
 def name_rollup(spark, sf_dir):
-    """Lines of 3 to 40 characters, as its SQL takes them."""
-    out = names.roll_up(_doc_hits(spark, sf_dir).filter(F.length("raw_surface").between(3, 40)))
+    out = names.roll_up(_doc_hits(spark, sf_dir))
     return out.select("name_key", "display", "occurrence_count", "suppressed_count", F.array_join("recognizers", ",").alias("recognizers"), F.size(F.array_distinct(F.transform("locations", lambda x: x["file"]))).alias("file_count"))
 
 
@@ -248,7 +249,7 @@ def inverted_merge(spark, sf_dir):
 
 def duplicate_flags(spark, sf_dir):
     rows = _table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("name_key")).union(spark.createDataFrame([("smith john",), ("john smith",), ("jon smith",), ("amara osei",)], "name_key string"))
-    return names.duplicate_pairs(rows, 97.0).select("a", "b", F.round("ratio", 4).alias("ratio"))
+    return names.duplicate_pairs(rows).select("a", "b", F.round("ratio", 4).alias("ratio"))
 
 
 def ngram_counts(spark, sf_dir):

@@ -1,9 +1,12 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from nomina import queries as Q
 from nomina.functions import text as T
 from nomina.functions.similarity import eponym_of, indel_ratio
-from nomina.operators import minors, scoring, suppression
+from nomina.operators import minors, names, scoring, spans, suppression
 from nomina.plans import scan
 
 VERDICTS = ["organization", "", "organization", "organization", "", "", "medical_term", "", "medical_term", "", "medical_term", "", "salutation_only", "", "ocr_garbage", "ocr_garbage", ""]
@@ -71,3 +74,39 @@ def test_condemned_names(spark, monkeypatch):
     assert told() == {1: (True, False), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, False)}
     monkeypatch.setattr(scoring, "LEAST_NAMES", 3)
     assert told() == {1: (True, True), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, False)}
+
+
+def test_prose_is_judged_where_it_stands(spark):
+    text = "Student: Ann Lee\nlong after that somebody found a coat whose badge read Ann Lee"
+    pages = spark.createDataFrame([("a", 1, text), ("a", 2, "seen: SARAH KOWALSKI\nStudent: JOHN SMITH\n"), ("a", 3, "Ann ††† LEE\n" + "x " * 600 + "Student: Bo Kim and Ann Lee")], "file string, page_num int, text string")
+    got = scan.hits(pages, Q._people(spark), 2026).collect()
+    assert sorted(r.minor_binding for r in got if r.page_num == 1) == ["", "label"]
+    assert {r.raw_name: r.minor_binding for r in got if r.page_num == 2}["John Smith" if any(r.raw_name == "John Smith" for r in got) else "JOHN SMITH"] == "label"
+    assert {r.raw_name: r.minor_binding for r in got if r.page_num == 3}["Bo Kim"] == "label" and {r.raw_name: r.minor_binding for r in got if r.page_num == 3}["Ann Lee"] == "label"
+
+
+def test_runs_of_capitalised_tokens(spark):
+    text = "iPhone Ann Lee's x-Ray Bo\tKim, Mr. O'Hara\nSt. John Smith. Jane Doe 9Al Roe _Cy Poe ÉLAN Ünal"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "no capitals")], "unit_id int, text string")
+    runs: dict = {}
+    for r in spans.capitalised_runs(df).orderBy("unit_id", "run", "start").collect():
+        assert text[r.start : r.start + len(r.token)] == r.token
+        runs.setdefault(r.run, []).append(r.token)
+    assert list(runs.values()) == [["Ann", "Lee's"], ["Bo", "Kim"], ["Mr.", "O'Hara"], ["St.", "John", "Smith."], ["Jane", "Doe"], ["Al", "Roe"], ["Cy", "Poe", "ÉLAN", "Ünal"]]
+
+
+@pytest.mark.parametrize("threshold", [70.0, 75.0, 88.0, 97.0])
+def test_duplicate_pairs_against_brute_force(spark, threshold):
+    draw = random.Random(3)
+    keys = {"".join(draw.choice("abc ") for _ in range(draw.randint(1, 7))).strip() for _ in range(150)}
+    for base in ("sarah kowalski", "john smith", "amara osei", "customer#000000012"):
+        for _ in range(25):
+            own = list(base)
+            for _ in range(draw.randint(0, 4)):
+                own[draw.randrange(len(own))] = draw.choice(["", "x", "00", " "])
+            keys.add(" ".join("".join(own).split()))
+    keys = sorted({" ".join(k.split()) for k in keys} - {""})
+    form = {k: " ".join(sorted(k.split())) for k in keys}
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if indel_ratio(form[a], form[b]) >= threshold}
+    got = names.duplicate_pairs(spark.createDataFrame([(k,) for k in keys], "name_key string"), threshold).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
