@@ -13,9 +13,137 @@ _UPPER = r"""length(regexp_replace(line, '\P{L}', '', 'g')) >= 6 AND len(list_fi
   AND length(regexp_replace(line, '\P{Lu}', '', 'g'))::DOUBLE / length(regexp_replace(line, '\P{L}', '', 'g')) >= 0.75"""
 
 
-def oracle_sql(spans: list[tuple]) -> dict[str, str]:
-    """spans: the fixture rows (unit_id, start, end, entity, score, recognizer)."""
+#: White space with the Unicode property, for RE2.
+_SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: A name's token: a letter or mark, then word characters, apostrophes, periods and hyphens.
+_TOKEN = r"[\p{L}\p{M}\p{Nl}][\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\'’.\-]*".replace("\\'", "''")
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _in(x: str, values) -> str:
+    return f"{x} IN ({', '.join(_quoted(v) for v in sorted(values))})"
+
+
+def _norm(x: str) -> str:
+    return _NORM.replace("line", x, 1)
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{_SPACE}+'), lambda t: t <> '')"
+
+
+def _bare(x: str) -> str:
+    return f"list_filter(list_transform({_tokens(x)}, lambda t: trim(lower(t), {_quoted(vocab.STRIP)})), lambda t: t <> '')"
+
+
+def _of(x: str, values) -> str:
+    """Sorted distinct bare tokens of x among the values."""
+    return f"list_sort(list_distinct(list_filter({_bare(x)}, lambda t: {_in('t', values)})))"
+
+
+def _org(x: str) -> str:
+    """Why a name by itself reads as an organisation."""
+    built = rf"regexp_matches({x}, '(?i)\b(of|for|&|and\s+sons|and\s+daughters|und)\b')"
+    proof = f"list_filter([CASE WHEN len(weak) >= 3 THEN 'multiple_weak_terms' END, CASE WHEN {built} THEN 'org_construction' END], lambda p: p IS NOT NULL)"
+    return f"""(SELECT CASE WHEN len(strong) > 0 THEN 'institutional_term:' || array_to_string(strong, '+')
+      WHEN len(weak) > 0 AND len({proof}) > 0 THEN 'weak_term:' || array_to_string(weak, '+') || '|' || array_to_string({proof}, '+') ELSE '' END
+      FROM (SELECT {_of(x, vocab.INSTITUTIONAL)} AS strong, {_of(x, vocab.INSTITUTIONAL_WEAK)} AS weak))"""
+
+
+def _flips(rows: str, column: str) -> str:
+    """SQL of rows with `flipped`: `Surname, Given` in a column as `Given Surname`, or null."""
+    shape = rf"^\s*({_TOKEN}(?:\s+{_TOKEN}){{0,2}})\s*,\s*({_TOKEN}(?:\s+{_TOKEN}){{0,3}})\s*$"
+    flat = rf"trim(regexp_replace({column}, '\s+', ' ', 'g'))"
+    header = lambda x: f"(len({_bare(x)}) > 0 AND len(list_filter({_bare(x)}, lambda t: NOT {_in('t', vocab.HEADER_WORDS)})) = 0)"
+    return f"""(SELECT * EXCLUDE (surname, given), CASE WHEN surname <> '' AND NOT {_in("lower(rtrim(given, '.'))", vocab.NAME_SUFFIXES)} AND NOT ({header('surname')} AND {header('given')})
+      AND {_org("(given || ' ' || surname)")} = '' THEN given || ' ' || surname END AS flipped
+      FROM (SELECT *, trim(regexp_extract({flat}, '{shape}', 1)) AS surname, trim(regexp_extract({flat}, '{shape}', 2)) AS given FROM {rows}))"""
+
+
+_GARBAGE = r"""SELECT file, page_num, CASE WHEN trim(text) = '' THEN 'empty_text_layer' WHEN b > 0 AND g::DOUBLE / b > 0.30 THEN 'ocr_garbage_page' END AS reason FROM (
+  SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS b, length(regexp_replace(text, '[^{}|\\\^~<>¬†‡¶\p{Sc}\p{So}\p{Sk}\p{Co}\p{Cf}]', '', 'g')) AS g FROM pages_)"""
+_PAGES = "SELECT coalesce(source, '') AS file, doc_id::INTEGER AS page_num, coalesce(text, '') AS text FROM documents"
+#: Folded capitalised words of the documents.
+_DICTIONARY = r"""dictionary AS (SELECT DISTINCT lower(w) AS token FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nd}_]+')) AS w FROM documents) WHERE regexp_matches(w, '^[A-Z][a-z]{2,}$'))"""
+_GRAMS = f"""{_DICTIONARY}, padded AS (SELECT token, chr(2) || chr(2) || token || chr(3) AS s FROM dictionary),
+  grams AS (SELECT token, substr(s, i::BIGINT, 3) AS tri, substr(s, i::BIGINT, 2) AS bi FROM (SELECT token, s, unnest(range(1, length(s) - 1)) AS i FROM padded))"""
+_SCORES = f"""{_GRAMS}, scored AS (
+  SELECT token, sum(ln((n_tri + 0.01::DOUBLE) / (n_bi + 0.01::DOUBLE * v))) / count(*) AS score FROM grams
+  JOIN (SELECT tri, count(*) AS n_tri FROM grams GROUP BY tri) USING (tri) JOIN (SELECT bi, count(*) AS n_bi FROM grams GROUP BY bi) USING (bi),
+  (SELECT count(DISTINCT c) AS v FROM (SELECT unnest(string_split(s, '')) AS c FROM padded)) WHERE length(token) >= 4 GROUP BY token)"""
+#: Each line as a hit: its name, key and place, every third document's held back.
+_HITS = f"""{_LINES}, raw_hits AS (SELECT l.doc_id * 100000 + line_no AS seq, source, l.doc_id % 3 = 0 AS odd, {_NORM} AS raw FROM lines l JOIN documents USING (doc_id)),
+  hits AS (SELECT *, lower({_norm("raw")}) AS name_key FROM raw_hits)"""
+_MERGED = f"""{_HITS}, shown AS (SELECT name_key, arg_max(raw, length(raw) * 1000000000000 - seq) AS display FROM hits WHERE name_key <> '' GROUP BY name_key),
+  turned AS (SELECT name_key, lower({_norm("coalesce(flipped, '')")}) AS flip FROM {_flips("shown", "display")}),
+  merged AS (SELECT t.name_key, CASE WHEN o.name_key IS NOT NULL AND t.flip <> t.name_key THEN t.flip ELSE t.name_key END AS target FROM turned t LEFT JOIN shown o ON t.flip = o.name_key)"""
+
+
+def _shape() -> str:
+    inst = f"len(list_filter({_tokens('line')}, lambda t: {_in('lower(trim(t, ' + _quoted('.,;:()[]' + chr(34) + chr(39)) + '))', vocab.INSTITUTIONAL)})) > 0"
+    part = lambda c, p: f"CASE WHEN {c} THEN {p}::DOUBLE ELSE 0 END"
+    case = r"regexp_matches(line, '\p{L}') AND (line = upper(line) OR line = lower(line))"
+    return " + ".join([part(r"regexp_matches(line, '\p{Nd}')", 0.30), part(f"len({_tokens('line')}) < 2", 0.15), part(inst, 0.50), part(case, 0.10)])
+
+
+def _tier(confidence: str, fraction: str) -> str:
+    base = f"CASE WHEN {confidence} >= {vocab.CERTAIN} THEN 'essentially_certain' WHEN {confidence} >= {vocab.LIGHT} THEN 'light_review' ELSE 'extensive_review' END"
+    return f"CASE WHEN {fraction} >= 0.80 THEN 'extensive_review' WHEN {fraction} >= 0.50 AND {base} = 'essentially_certain' THEN 'light_review' ELSE {base} END"
+
+
+def _signals() -> str:
+    latin = rf"list_filter(toks, lambda t: NOT regexp_matches(regexp_replace(lower(t), '[a-z{vocab.VOWELS}]', '', 'g'), '\p{{L}}'))"
+    letters = r"lower(regexp_replace(t, '\P{L}', '', 'g'))"
+    some = lambda of, test: f"len(list_filter({of}, lambda t: {test})) > 0"
+    thrice = f"len(list_filter(range(1, length({letters}) - 1), lambda i: substr({letters}, i, 1) = substr({letters}, i + 1, 1) AND substr({letters}, i, 1) = substr({letters}, i + 2, 1))) > 0"
+    weak = {
+        "alnum_mixed_token": some("toks", r"regexp_matches(t, '\p{L}') AND regexp_matches(t, '\p{Nd}')"),
+        "consonant_run": some(latin, f"regexp_matches({letters}, '[^{vocab.VOWELS}]{{6,}}')"),
+        "digits": r"regexp_matches(word, '\p{Nd}')",
+        "no_multiletter_token": "NOT " + some("toks", r"length(regexp_replace(t, '\P{L}', '', 'g')) >= 2"),
+        "overlong_token": some("toks", "length(t) > 30"),
+        "punctuation_ratio": rf"length(regexp_replace(word, '[\p{{L}}\p{{N}}]|{_SPACE}', '', 'g'))::DOUBLE / greatest(length(replace(word, ' ', '')), 1) > 0.34",
+        "repeated_char_run": some(latin, thrice),
+        "vowelless_token": some(latin, f"length({letters}) >= 5 AND NOT regexp_matches({letters}, '[{vocab.VOWELS}]')"),
+    }
+    listed = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in weak.items())
+    return f"""SELECT word, CASE WHEN NOT regexp_matches(word, '\\p{{L}}') THEN 'no_letters'
+      WHEN regexp_matches(regexp_replace(word, '[ ''’‘`\\-‐‑–.,]', '', 'g'), '[\\p{{P}}\\p{{Sc}}\\p{{So}}\\p{{Sk}}\\p{{Co}}\\p{{Cf}}<>|^~=+$]') THEN 'interior_garbage_char'
+      ELSE array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ',') END AS signals
+      FROM (SELECT word, {_tokens("word")} AS toks FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM documents))"""
+
+
+def oracle_sql(spans: list[tuple], pages: list[tuple], names: list[str]) -> dict[str, str]:
+    """The fixtures: spans (unit_id, start, end, entity, score, recognizer), pages (file, page_num, text), names."""
+    letter = r"regexp_matches(substr(line, {}, 1), '\p{{L}}')"
+    cased = lambda f: f"CASE WHEN length({f}(substr(line, i, 1))) = 1 THEN {f}(substr(line, i, 1)) ELSE substr(line, i, 1) END"
+    more = ", ".join(f"({_quoted(f)}, {n}, {' || chr(10) || '.join(_quoted(x) for x in t.split(chr(10)))})" for f, n, t in pages)
+    zero = ["possible_minors", "minor_high", "minor_medium", "bound_by_column", "bound_by_label", "bound_by_dob", "bound_by_relation"]
     return {
+        "titlecase_lines": f"""WITH {_LINES} SELECT doc_id, line_no, array_to_string(list_transform(range(1, length(line) + 1), lambda i: CASE WHEN NOT {letter.format("i")} THEN substr(line, i, 1)
+          WHEN i > 1 AND {letter.format("i - 1")} THEN {cased("lower")} ELSE {cased("upper")} END), '') AS line FROM lines WHERE {_UPPER}""",
+        "garbage_signals": _signals(),
+        "shape_scores": f"""WITH {_LINES} SELECT doc_id, line_no, round(0 - p, 6) AS shape, round(c, 6) AS confidence, {_tier("round(c, 6)", "0.0")} AS tier
+          FROM (SELECT *, greatest(0, least(1, 0.85::DOUBLE + 0.0 - p)) AS c FROM (SELECT *, {_shape()} AS p FROM lines))""",
+        "flipped_names": f"WITH {_LINES} SELECT doc_id, line_no, flipped FROM {_flips('lines', 'line')} WHERE flipped IS NOT NULL",
+        "page_problems": f"WITH pages_ AS ({_PAGES} UNION ALL SELECT * FROM (VALUES {more}) v(file, page_num, text)) SELECT * FROM ({_GARBAGE}) WHERE reason IS NOT NULL",
+        "org_rules": f"SELECT name, {_org('name')} AS detail FROM (SELECT DISTINCT name FROM (SELECT unnest([{', '.join(_quoted(n) for n in names)}]) AS name UNION ALL SELECT s_name FROM supplier))",
+        "ngram_counts": f"WITH {_GRAMS} SELECT tri, count(*) AS n_tri FROM grams GROUP BY tri",
+        "ngram_scores": f"WITH {_SCORES} SELECT token, round(score, 6) AS score FROM scored",
+        "ngram_thresholds": f"""WITH {_SCORES}, ranked AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS place, count(*) OVER () AS n FROM scored)
+          SELECT pct, round(score, 6) AS threshold, n FROM ranked, (VALUES (1.0::DOUBLE), (0.1::DOUBLE)) p(pct) WHERE place = least(floor(n * pct / 100.0), n - 1)""",
+        "inverted_merge": f"WITH {_MERGED} SELECT name_key, target FROM merged",
+        "manifest_totals": f"""WITH {_MERGED}, rolled AS (SELECT target, count(*) AS n, count(*) FILTER (odd) AS held, bool_or(odd) AS g, bool_or(NOT odd) AS s FROM hits JOIN merged USING (name_key) GROUP BY target),
+          tiered AS (SELECT *, {_tier("0.65", "(held::DOUBLE / n)")} AS tier FROM rolled)
+          SELECT count(*) AS names, coalesce(sum(n), 0)::BIGINT AS occurrences, {", ".join(f"count(*) FILTER (tier = '{t}') AS {t}" for t in ("essentially_certain", "light_review", "extensive_review"))},
+          count(*) FILTER (held = n) AS suppressed, count(*) FILTER (held > 0 AND held < n) AS rescued, {", ".join(f"0::BIGINT AS {z}" for z in zero)},
+          count(*) FILTER (s AND NOT g) AS recognizer_spacy, count(*) FILTER (g AND NOT s) AS recognizer_gazetteer, count(*) FILTER (g AND s) AS recognizer_both FROM tiered""",
+        "file_stats": f"""WITH {_LINES}, pages_ AS ({_PAGES}), h AS (SELECT source AS file, count(*) AS hits, count(*) FILTER (l.doc_id % 3 = 0) AS suppressed FROM lines l JOIN documents USING (doc_id) GROUP BY source),
+          p AS (SELECT file, string_agg(reason || ':' || n, '; ' ORDER BY reason || ':' || n) AS problems FROM (SELECT file, reason, count(*) AS n FROM ({_GARBAGE}) WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY file)
+          SELECT coalesce(h.file, p.file) AS file, coalesce(hits, 0) AS hits, coalesce(suppressed, 0) AS suppressed, coalesce(problems, '') AS problems FROM h FULL OUTER JOIN p ON h.file = p.file""",
         "norm_name": f"WITH {_LINES} SELECT doc_id, line_no, {_NORM} AS name, lower({_NORM}) AS name_key FROM lines",
         "context_normalize": r"SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '-\s*\n\s*', '', 'g'), '\s+', ' ', 'g')) AS flat FROM documents",
         "uppercase_lines": f"WITH {_LINES} SELECT doc_id, line_no, line FROM lines WHERE {_UPPER}",
@@ -40,9 +168,7 @@ def oracle_sql(spans: list[tuple]) -> dict[str, str]:
           FROM s p LEFT JOIN s o ON o.entity <> 'PERSON' AND p.unit_id = o.unit_id AND o.s < p.e AND p.s < o.e WHERE p.entity = 'PERSON' GROUP BY ALL""",
         "resume_antijoin": """SELECT DISTINCT source AS file, (doc_id // 100 * 100 + 1)::INTEGER AS start_page, (doc_id // 100 * 100 + 100)::INTEGER AS end_page FROM documents
           WHERE (doc_id // 100 * 100 + 1) % 200 <> 1""",
-        "name_rollup": f"""WITH {_LINES}, hits AS (
-          SELECT l.doc_id * 100000 + line_no AS seq, source, l.doc_id % 3 = 0 AS odd, {_NORM} AS raw FROM lines l JOIN documents USING (doc_id))
-          SELECT lower(raw) AS name_key, arg_max(raw, length(raw) * 1000000000000 - seq) AS display, count(*) AS occurrence_count, count(*) FILTER (odd) AS suppressed_count,
+        "name_rollup": f"""WITH {_HITS} SELECT name_key, arg_max(raw, length(raw) * 1000000000000 - seq) AS display, count(*) AS occurrence_count, count(*) FILTER (odd) AS suppressed_count,
           concat_ws(',', CASE WHEN bool_or(odd) THEN 'gazetteer' END, CASE WHEN bool_or(NOT odd) THEN 'spacy' END) AS recognizers, count(DISTINCT source)::INTEGER AS file_count
-          FROM hits WHERE raw <> '' GROUP BY lower(raw)""",
+          FROM hits WHERE name_key <> '' GROUP BY name_key""",
     }

@@ -297,4 +297,4 @@ _ALL = [
     manifest_totals, file_stats,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = oracle_sql(SPANS)
+ORACLE_SQL = oracle_sql(SPANS, PAGES, [n for n, _, _ in SUPPRESS])
