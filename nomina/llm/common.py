@@ -73,13 +73,13 @@ def unit_hash_sql(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
-def sampled(rows: DataFrame, limit: int, size: int) -> DataFrame:
-    """Rows (doc_id, text, label) of the `limit` ids with the smallest hash, with that as _h, as long as the texts before
-    one come to fewer than `size` characters: what reaches the driver is bounded in both. Of rows with one id the one with
-    the least label and text counts.
+def sampled(rows: DataFrame, limit: int, size: int, among: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, text, label) of the `limit` ids (`among` these, else the rows' own) with the smallest hash, with that
+    as _h, as long as the texts before one come to fewer than `size` characters: what reaches the driver is bounded in
+    both. Of rows with one id the one with the least label and text counts.
 
     The hash first thins the ids to about twice the limit, so that what tasks send on is bounded too."""
-    ids = rows.select("doc_id").distinct().withColumn("_h", F.xxhash64("doc_id"))
+    ids = (rows if among is None else among).select("doc_id").distinct().withColumn("_h", F.xxhash64("doc_id"))
     n = ids.count()
     if n > 4 * limit:
         ids = ids.filter(F.col("_h") < int(2**64 * (2 * limit / n)) - 2**63)

@@ -278,8 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model |
     known = labels.filter(~_held(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = []
     for y in (0, 1):
-        ids = known.filter(F.col("toxic") == y).select("doc_id", F.col("toxic").alias("label"))
-        found = sampled(docs.filter("text IS NOT NULL").select("doc_id", "text").join(ids, "doc_id"), limit, TRAIN_CHARS)
+        own = docs.filter("text IS NOT NULL").select("doc_id", "text", F.lit(y).alias("label"))
+        found = sampled(own, limit, TRAIN_CHARS, known.filter(F.col("toxic") == y))
         rows += [(r.text.encode(), y) for r in sorted(found.collect(), key=lambda r: (r._h, r.doc_id))]
     return train(rows)
 
