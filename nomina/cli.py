@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
 from nomina import vocab
+from nomina.operators import spans
 from nomina.operators.report import write_report
-from nomina.plans.scan import hits
+from nomina.plans.scan import scan
 from nomina.sources import files
 
 
@@ -24,6 +26,11 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--gazetteer", action="append", default=[])
         s.add_argument("--gazetteer-ambiguous", action="append", default=[])
         s.add_argument("--denylist", action="append", default=[])
+        s.add_argument("--gazetteer-score", type=float, default=vocab.DICTIONARY_SCORE)
+        s.add_argument("--entities", default="PERSON", help="comma-separated labels of spans that count as names")
+        s.add_argument("--cells", help="Parquet of table cells (file, page_num, table_id, r, c, cell)")
+        s.add_argument("--chunk-size", type=int, default=files.CHUNK_SIZE, help="pages that are done, or done again, together")
+        s.add_argument("--force", action="store_true", help="remove what was found before and scan everything")
         s.add_argument("--as-of", type=int, default=datetime.now(timezone.utc).year)
     for s in (report, both):
         s.add_argument("--out", default="names")
@@ -40,13 +47,19 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("nomina").getOrCreate()
     if args.command in ("scan", "all"):
-        if not args.gazetteer:
+        load = lambda label, paths: files.load_dictionary(spark, *paths, cache=f"{args.cache}.dictionaries", label=label) if paths else None
+        names, common, denied = (load(*x) for x in (("names", args.gazetteer), ("ambiguous", args.gazetteer_ambiguous), ("denylist", args.denylist)))
+        if names is None and not spans.SOURCES:
             raise SystemExit("no span source: give --gazetteer")
-        load = lambda paths: files.load_dictionary(spark, *paths) if paths else None
-        found = hits(files.text_pages(spark, args.pages), load(args.gazetteer), args.as_of, load(args.gazetteer_ambiguous), None, load(args.denylist))
-        files.write_hits(found, args.cache)
+        cells = spark.read.parquet(args.cells) if args.cells else None
+        entities = [e.strip() for e in args.entities.split(",") if e.strip()]
+        told = scan(files.text_pages(spark, args.pages), names, args.as_of, args.cache, cells, args.chunk_size, args.force, ambiguous=common, denylist=denied, entities=entities, score=args.gazetteer_score)
+        print(f"{told['hits']} hits, {told['suppressed']} of them held back", file=sys.stderr)
     if args.command in ("report", "all"):
-        write_report(files.read_hits(spark, args.cache), args.out, include_suppressed=args.include_suppressed, certain=args.certain, light=args.light, fuzzy=None if args.no_fuzzy else args.fuzzy)
+        pages = files.read_pages(spark, args.cache)
+        if pages is None:
+            raise SystemExit(f"nothing was scanned into {args.cache}")
+        write_report(files.read_hits(spark, args.cache), args.out, pages, include_suppressed=args.include_suppressed, certain=args.certain, light=args.light, fuzzy=None if args.no_fuzzy else args.fuzzy)
     if args.command == "clear" and (args.yes or input(f"Remove {args.cache}? [y/N] ").lower() == "y"):
         print("removed" if files.clear(spark, args.cache) else "nothing of this engine there")
     return 0

@@ -18,14 +18,18 @@ def _rank(x: Column, order: list[str]) -> Column:
     return F.coalesce(F.array_position(T.words(order), x), F.lit(1)).cast("int")
 
 
-def roll_up(hits: DataFrame, key: Column | None = None) -> DataFrame:
+def roll_up(hits: DataFrame, key: Column | None = None, folded: Column | None = None) -> DataFrame:
     """One row a name of hits (seq, file, page_num, raw_name, boosted, minor_ctx, minor_tier, minor_reason, recognizer,
-    minor_binding, suppressed, suppress_reason, raw_surface). The longest raw_name is displayed, the earliest of equal ones."""
+    minor_binding, suppressed, suppress_reason, raw_surface). The longest raw_name is displayed, the earliest of equal ones.
+
+    folded is null for a name's own hits, else the form of another key that is folded into it: such a form is one of the
+    name's surfaces and never displayed."""
+    folded = F.lit(None).cast("string") if folded is None else folded
     h = hits.withColumn("name_key", T.dedup_key(F.col("raw_name")) if key is None else key).filter("name_key != ''")
     surface = F.when((F.coalesce("raw_surface", F.lit("")) != "") & (T.normalize_name(F.col("raw_surface")) != F.col("raw_name")), F.col("raw_surface"))
     reasons = F.filter(F.split(F.coalesce("minor_reason", F.lit("")), "; "), lambda r: r != "")
     return h.groupBy("name_key").agg(
-        F.max_by("raw_name", F.struct(F.length("raw_name"), -F.col("seq"))).alias("display"),
+        F.max_by("raw_name", F.struct(folded.isNull(), F.length("raw_name"), -F.col("seq"))).alias("display"),
         F.max("boosted").alias("confidence"),
         F.max(F.col("minor_ctx").cast("int")).alias("possible_minor"),
         F.element_at(T.words(BINDINGS), F.max(_rank(F.col("minor_binding"), BINDINGS))).alias("minor_binding"),
@@ -35,19 +39,19 @@ def roll_up(hits: DataFrame, key: Column | None = None) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("file", "page_num"))).alias("locations"),
         F.count(F.lit(1)).alias("occurrence_count"),
         F.sum(F.col("suppressed").cast("int")).alias("suppressed_count"),
-        F.array_sort(F.collect_set(F.when(F.col("suppress_reason") != "", F.substring_index("suppress_reason", "|", 1)))).alias("suppress_reasons"),
-        F.array_sort(F.collect_set(surface)).alias("surfaces"),
+        F.array_sort(F.collect_set(F.when((F.col("suppressed").cast("int") > 0) & (F.col("suppress_reason") != ""), F.col("suppress_reason")))).alias("suppress_reasons"),
+        F.array_sort(F.array_union(F.collect_set(surface), F.collect_set(folded))).alias("surfaces"),
     )
 
 
 def merge_inverted(hits: DataFrame) -> DataFrame:
-    """(name_key, target): each key, and where `Surname, Given` is displayed and the flipped key exists, that key."""
+    """(name_key, target, display): each key, and where `Surname, Given` is displayed and the flipped key exists, that key."""
     keyed = hits.withColumn("name_key", T.dedup_key(F.col("raw_name"))).filter("name_key != ''")
     shown = keyed.groupBy("name_key").agg(F.max_by("raw_name", F.struct(F.length("raw_name"), -F.col("seq"))).alias("display"))
     flips = shown.withColumn("flip", T.dedup_key(F.coalesce(T.flipped_name(F.col("display")), F.lit(""))))
     have = shown.select(F.col("name_key").alias("flip"), F.lit(True).alias("there"))
     out = flips.join(have, "flip", "left")
-    return out.select("name_key", F.when(F.col("there") & (F.col("flip") != F.col("name_key")), F.col("flip")).otherwise(F.col("name_key")).alias("target"))
+    return out.select("name_key", F.when(F.col("there") & (F.col("flip") != F.col("name_key")), F.col("flip")).otherwise(F.col("name_key")).alias("target"), "display")
 
 
 def duplicate_pairs(names: DataFrame, threshold: float = vocab.FUZZY) -> DataFrame:

@@ -21,9 +21,9 @@ COLUMNS = [
 
 def name_table(hits: DataFrame) -> DataFrame:
     """Names after inverted ones were folded into their plain form."""
-    to = merge_inverted(hits)
-    keyed = hits.withColumn("_k", T.dedup_key(F.col("raw_name"))).join(to.withColumnRenamed("name_key", "_k"), "_k")
-    return roll_up(keyed.drop("_k"), F.col("target"))
+    to = merge_inverted(hits).select(F.col("name_key").alias("_k"), "target", F.when(F.col("target") != F.col("name_key"), F.col("display")).alias("_form"))
+    keyed = hits.withColumn("_k", T.dedup_key(F.col("raw_name"))).join(to, "_k")
+    return roll_up(keyed.drop("_k"), F.col("target"), F.col("_form"))
 
 
 def report_rows(hits: DataFrame, certain: float = vocab.CERTAIN, light: float = vocab.LIGHT, fuzzy: float | None = vocab.FUZZY) -> DataFrame:
@@ -50,14 +50,14 @@ def report_rows(hits: DataFrame, certain: float = vocab.CERTAIN, light: float =
         "occurrence_count",
         F.size(files).alias("file_count"),
         F.array_join(place, "; ").alias("locations"),
-        T.csv_safe(joined(F.col("possible_duplicates"))).alias("possible_duplicate_of"),
+        joined(F.transform("possible_duplicates", T.csv_safe), ", ").alias("possible_duplicate_of"),
         recognizer.alias("recognizer"),
         "minor_tier",
         "minor_binding",
         F.left(joined(F.col("minor_reasons")), F.lit(500)).alias("minor_reason"),
         yes(held).alias("suppressed"),
         F.when(held, F.left(joined(F.col("suppress_reasons")), F.lit(300))).otherwise("").alias("suppress_reason"),
-        T.csv_safe(F.left(joined(F.col("surfaces")), F.lit(300))).alias("also_reported_as"),
+        F.left(joined(F.array_sort(F.transform("surfaces", T.csv_safe)), ", "), F.lit(500)).alias("also_reported_as"),
         F.when(F.col("suppressed_count") > 0, F.bround(fraction, 2)).alias("suppressed_fraction"),
         F.when((F.col("suppressed_count") > 0) & ~held, F.left(joined(F.col("suppress_reasons")), F.lit(300))).otherwise("").alias("rescued_from"),
     )
@@ -66,7 +66,7 @@ def report_rows(hits: DataFrame, certain: float = vocab.CERTAIN, light: float =
 
 
 def split_rows(rows: DataFrame, include_suppressed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(main, held back)."""
+    """(main, held back); with include_suppressed all rows and none."""
     return (rows, rows.limit(0)) if include_suppressed else (rows.filter("suppressed = ''"), rows.filter("suppressed = 'yes'"))
 
 
@@ -95,13 +95,58 @@ def file_stats(hits: DataFrame, problems: DataFrame | None = None) -> DataFrame:
     return out.join(per, "file", "full_outer").select("file", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("suppressed", F.lit(0)).alias("suppressed"), F.coalesce("problems", F.lit("")).alias("problems"))
 
 
-def write_report(hits: DataFrame, out: str, problems: DataFrame | None = None, include_suppressed: bool = False, **settings) -> None:
-    """CSV of the main list, CSV of what is held back (with a header even when empty) and a JSON manifest, as folders."""
-    rows = report_rows(hits, **settings).persist()
-    for part, where in zip(split_rows(rows, include_suppressed), (out, f"{out}.suppressed"), strict=True):
+def scanned_files(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """(file, status, page_count, pages_scanned, chunks_completed, hits, suppressed, problems) by the pages that a scan
+    tells of; status is `complete` once every page up to the last was scanned, else `partial`."""
+    n = F.countDistinct("page_num")
+    per = pages.groupBy("file").agg(F.max("end_page").alias("page_count"), n.alias("pages_scanned"), F.countDistinct("start_page").alias("chunks_completed"))
+    problems = pages.select("file", "page_num", F.explode("reasons").alias("reason"))
+    status = F.when(F.col("pages_scanned") >= F.col("page_count"), "complete").otherwise("partial").alias("status")
+    out = per.join(file_stats(hits, problems), "file", "left").na.fill({"hits": 0, "suppressed": 0, "problems": ""})
+    return out.select("file", status, "page_count", "pages_scanned", "chunks_completed", "hits", "suppressed", "problems")
+
+
+def manifest(main: DataFrame, held: DataFrame, out: str, files: DataFrame | None = None, include_suppressed: bool = False, certain: float = vocab.CERTAIN, light: float = vocab.LIGHT, fuzzy: float | None = vocab.FUZZY) -> DataFrame:
+    """One row: when and from what the lists were made, what they count, and what was held back for which reason."""
+    one = lambda c, *values: F.struct(*[F.count_if(F.col(c) == v).alias(v) for v in values])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counted = main.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("unique_names"),
+            total("occurrence_count").alias("total_occurrences"),
+            F.count_if(F.col("possible_minor") == "yes").alias("possible_minor_names"),
+            one("minor_tier", "high", "medium", "low").alias("by_minor_tier"),
+            one("minor_binding", "column", "label", "dob", "relation").alias("by_minor_binding"),
+            one("tier", "essentially_certain", "light_review", "extensive_review").alias("by_tier"),
+            one("recognizer", "spacy", "gazetteer", "both").alias("by_recognizer"),
+        ).alias("totals"),
+        F.count_if(F.col("rescued_from") != "").alias("names_rescued"),
+    )
+    reason = F.coalesce(F.nullif(F.substring_index("suppress_reason", "|", 1), F.lit("")), F.lit("unknown"))
+    by = held.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("by_reason"))  # a row a reason
+    kept = held.agg(F.count(F.lit(1)).alias("names_withheld"), total("occurrence_count").alias("occurrences_withheld"), F.count_if(F.col("possible_minor") == "yes").alias("possible_minor_withheld"))
+    body = counted.crossJoin(by).crossJoin(kept)  # one row each
+    pages = F.lit(None).cast("long")
+    if files is not None:
+        body, pages = body.crossJoin(files.agg(total("page_count").alias("pages"))), F.col("pages")
+    return body.select(
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_utc"),
+        F.lit(out).alias("output_csv"),
+        F.lit(f"{out}.suppressed").alias("suppressed_csv"),
+        F.struct(F.lit(certain).alias("certain"), F.lit(light).alias("light"), F.lit(fuzzy).cast("double").alias("fuzzy_similarity"), F.lit(fuzzy is not None).alias("fuzzy_enabled")).alias("thresholds"),
+        F.struct(F.lit(include_suppressed).alias("include_suppressed"), "names_rescued", "names_withheld", "by_reason", "occurrences_withheld", "possible_minor_withheld").alias("suppression"),
+        F.col("totals").withField("pages_in_corpus", pages).alias("totals"),
+    )
+
+
+def write_report(hits: DataFrame, out: str, pages: DataFrame | None = None, include_suppressed: bool = False, **settings) -> None:
+    """CSV of the main list, CSV of what is held back (with a header even when empty), JSON lines of the files scanned
+    and a JSON manifest, as folders."""
+    rows = stored(report_rows(hits, **settings))
+    main, held = split_rows(rows, include_suppressed)
+    for part, where in ((main, out), (held, f"{out}.suppressed")):
         ordered = part.orderBy("tier_rank", F.lower("name"), "name_key").select(*COLUMNS)
         ordered.write.mode("overwrite").csv(where, header=True, quote='"', escape='"', emptyValue="")
-    stats = file_stats(hits, problems).agg(F.array_sort(F.collect_list(F.struct("file", "hits", "suppressed", "problems"))).alias("files"))
-    body = totals(rows).select(F.struct("*").alias("totals")).crossJoin(stats)  # one row each
-    body.withColumn("settings", F.lit(str(sorted(settings.items())))).write.mode("overwrite").json(f"{out}.manifest")
-    rows.unpersist()
+    files = None if pages is None else scanned_files(hits, pages)
+    (file_stats(hits) if files is None else files).write.mode("overwrite").json(f"{out}.files")
+    manifest(main, held, out, files, include_suppressed, **settings).write.mode("overwrite").json(f"{out}.manifest")

@@ -64,20 +64,37 @@ def flipped_fragments(pages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def page_units(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """(file, page_num, kind, analysis_text, source_text, col_role, seq) of pages (file, page_num, text) and their cells."""
+    """(file, page_num, kind, analysis_text, source_text, col_role, seq) of pages (file, page_num, text) and their cells.
+
+    A reader that finds tables may give pages a column prose, the text outside them, which then is what prose units hold.
+    A page that has a cell with an error falls back to its whole text, upper-case lines re-cased."""
     none = F.lit("").alias("col_role")
-    prose = pages.filter(F.trim("text") != "").select("file", "page_num", F.lit("prose").alias("kind"), F.col("text").alias("analysis_text"), F.col("text").alias("source_text"), none, _seq(1, F.lit(0)).alias("seq"))
-    flips = flipped_fragments(pages)
+    body, flips = pages, flipped_fragments(pages)
+    if cells is not None and "error" in cells.columns:
+        failed = cells.filter("error IS NOT NULL").select("file", "page_num").distinct()
+        cells, flips = (x.join(failed, ["file", "page_num"], "left_anti") for x in (cells, flips))
+        body = pages.join(failed.withColumn("failed", F.lit(True)), ["file", "page_num"], "left")
+    if "prose" in pages.columns:
+        outside = F.coalesce("prose", "text")
+        body = body.withColumn("text", F.when(F.col("failed"), F.col("text")).otherwise(outside) if "failed" in body.columns else outside)
+    prose = body.filter(F.trim("text") != "").select("file", "page_num", F.lit("prose").alias("kind"), F.col("text").alias("analysis_text"), F.col("text").alias("source_text"), none, _seq(1, F.lit(0)).alias("seq"))
     flips = flips.select("file", "page_num", F.lit("flipped").alias("kind"), F.col("flipped").alias("analysis_text"), F.col("fragment").alias("source_text"), none, _seq(3, F.col("n")).alias("seq"))
     units = prose if cells is None else cell_units(cells).unionByName(prose)
     return units.unionByName(truecase_units(units)).unionByName(flips)
 
 
-def page_problems(pages: DataFrame) -> DataFrame:
-    """(file, page_num, reason): blank pages, and pages with over 30% of broken characters."""
-    ratio = T.page_garbage_ratio(F.coalesce("text", F.lit("")))
-    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty_text_layer").when(ratio > 0.30, "ocr_garbage_page")
-    return pages.select("file", "page_num", reason.alias("reason")).filter("reason is not null")
+def page_problems(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(file, page_num, reason): pages that couldn't be read (column error, where there is one, names what was raised),
+    blank ones, those with over 30% of broken characters, and those whose tables couldn't be read (error of a cell)."""
+    text = F.coalesce("text", F.lit(""))
+    reason = F.when(F.trim(text) == "", "empty_text_layer").when(T.page_garbage_ratio(text) > 0.30, "ocr_garbage_suspected")
+    if "error" in pages.columns:
+        reason = F.when(F.col("error").isNotNull(), F.concat(F.lit("extract_error: "), F.col("error"))).otherwise(reason)
+    found = pages.select("file", "page_num", reason.alias("reason")).filter("reason is not null")
+    if cells is not None and "error" in cells.columns:
+        tables = cells.filter("error IS NOT NULL").groupBy("file", "page_num").agg(F.concat(F.lit("table_fallback: "), F.min("error")).alias("reason"))
+        found = found.unionByName(tables)
+    return found
 
 
 def first_variants(hits: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def _flips(rows: str, column: str) -> str:
       FROM (SELECT *, trim(regexp_extract({flat}, '{shape}', 1)) AS surname, trim(regexp_extract({flat}, '{shape}', 2)) AS given FROM {rows}))"""
 
 
-_GARBAGE = r"""SELECT file, page_num, CASE WHEN trim(text) = '' THEN 'empty_text_layer' WHEN b > 0 AND g::DOUBLE / b > 0.30 THEN 'ocr_garbage_page' END AS reason FROM (
+_GARBAGE = r"""SELECT file, page_num, CASE WHEN trim(text) = '' THEN 'empty_text_layer' WHEN b > 0 AND g::DOUBLE / b > 0.30 THEN 'ocr_garbage_suspected' END AS reason FROM (
   SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS b, length(regexp_replace(text, '[^{}|\\\^~<>¬†‡¶\p{Sc}\p{So}\p{Sk}\p{Co}\p{Cf}]', '', 'g')) AS g FROM pages_)"""
 _PAGES = "SELECT coalesce(source, '') AS file, doc_id::INTEGER AS page_num, coalesce(text, '') AS text FROM documents"
 #: Folded capitalised words of the documents.

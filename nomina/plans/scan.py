@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from nomina import vocab
 from nomina.functions import text as T
 from nomina.operators import minors, scoring, spans, suppression, units
+from nomina.sources import files
 from nomina.sources.tables import stored
 
 #: Characters to either side of a place that it is judged by; no rule but that of joined names reads more than 80.
 AROUND = 400
 
 
-def detect(pages: DataFrame, names: DataFrame, ambiguous: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """(file, page_num, seq, kind, col_role, source, raw, start, end, score, recognizer, overlaps): resolved person spans
-    of every unit, from the dictionary and all registered sources; raw keeps the source's casing."""
+def detect(pages: DataFrame, names: DataFrame | None, ambiguous: DataFrame | None = None, cells: DataFrame | None = None, entities: Sequence[str] = ("PERSON",), score: float = vocab.DICTIONARY_SCORE) -> DataFrame:
+    """(file, page_num, seq, kind, col_role, source, raw, start, end, score, recognizer, overlaps): resolved spans of the
+    entities asked for in every unit, from the dictionary, if there is one, and all registered sources; raw keeps the
+    source's casing. overlaps names the other entities that cover a span."""
     u = units.page_units(pages, cells).withColumn("unit_id", F.xxhash64("file", "page_num", "kind", "seq", "analysis_text"))
     texts = u.select("unit_id", F.col("analysis_text").alias("text"))
-    found = spans.gazetteer_spans(texts, names, ambiguous)
-    for source in spans.SOURCES.values():
-        found = found.unionByName(source(texts))
-    persons = spans.resolve_overlaps(found.filter("entity = 'PERSON'"))
-    persons = spans.overlapping_entities(persons, found.filter("entity != 'PERSON'"))
+    parts = [] if names is None else [spans.gazetteer_spans(texts, names, ambiguous, score=score)]
+    parts += [source(texts) for source in spans.SOURCES.values()]
+    if not parts:
+        raise ValueError("no span source: a dictionary or a registered recogniser is needed")
+    found = reduce(DataFrame.unionByName, parts)
+    asked = F.col("entity").isin(*entities)
+    persons = spans.resolve_overlaps(found.filter(asked))
+    persons = spans.overlapping_entities(persons, found.filter(~asked))
     text = F.when(F.length("source_text") == F.length("analysis_text"), F.col("source_text")).otherwise(F.col("analysis_text"))
     rows = persons.join(u, "unit_id").withColumn("source", text)
     return rows.select("file", "page_num", F.struct("seq", "start").alias("seq"), "kind", "col_role", "source", F.expr("substring(source, start + 1, end - start)").alias("raw"), "start", "end", "score", "recognizer", "overlaps")
 
 
-def hits(pages: DataFrame, names: DataFrame, as_of: int, ambiguous: DataFrame | None = None, cells: DataFrame | None = None, denylist: DataFrame | None = None) -> DataFrame:
+def hits(pages: DataFrame, names: DataFrame | None, as_of: int, ambiguous: DataFrame | None = None, cells: DataFrame | None = None, denylist: DataFrame | None = None, entities: Sequence[str] = ("PERSON",), score: float = vocab.DICTIONARY_SCORE) -> DataFrame:
     """(seq, file, page_num, raw_name, score, boosted, minor_ctx, minor_tier, minor_reason, recognizer, minor_binding,
     suppressed, suppress_reason, raw_surface).
 
     A prose surface is judged where it stands; any other wherever it stands on its page, else in its unit. The first clean
     place clears it, else the last place's verdict stands; the greatest boost and the strongest binding count. A surface
     that is debris alone keeps its form, so that it is held back with that reason."""
-    rows = detect(pages, names, ambiguous, cells).withColumn("surface", T.normalize_name(F.col("raw")))
+    rows = detect(pages, names, ambiguous, cells, entities, score).withColumn("surface", T.normalize_name(F.col("raw")))
     rows = rows.withColumn("name", T.let(T.sanitize(F.col("raw")), lambda n: F.when(n != "", n).otherwise(F.col("surface"))))
     rows = rows.withColumn("name_key", T.dedup_key(F.col("name")))
     rows = rows.filter("name_key != ''").withColumn("is_variant", F.col("kind").isin("truecase", "flipped"))
@@ -60,7 +69,8 @@ def hits(pages: DataFrame, names: DataFrame, as_of: int, ambiguous: DataFrame |
     if denylist is not None:
         denied = suppression.denylist_detail(rows.select("hit", "name"), ["hit"], "name", denylist)
         c = c.join(denied, "hit", "left")
-    c = c.join(scoring.implausible_names(rows.select("hit", "name"), ["hit"], "name", names), "hit", "left")
+    told = rows.select("hit", F.lit(False).alias("implausible"), F.lit(False).alias("condemned")).limit(0) if names is None else scoring.implausible_names(rows.select("hit", "name"), ["hit"], "name", names)
+    c = c.join(told, "hit", "left")
     c = c.withColumns({x: F.coalesce(x, F.lit(False)) for x in ("implausible", "condemned")})
     c = suppression.verdict(c, "denylist_detail" if denylist is not None else None, F.col("implausible"), F.col("condemned"))
     at = (F.col("ctx"), F.col("start"), F.col("end"))
@@ -94,3 +104,20 @@ def hits(pages: DataFrame, names: DataFrame, as_of: int, ambiguous: DataFrame |
         F.when(F.col("suppressed"), F.col("judged")).otherwise("").alias("suppress_reason"),
         F.left("surface", F.lit(200)).alias("raw_surface"),
     )
+
+
+def scan(pages: DataFrame, names: DataFrame | None, as_of: int, path: str, cells: DataFrame | None = None, size: int | None = files.CHUNK_SIZE, force: bool = False, **settings) -> dict:
+    """Scans what the table at path lacks and adds it there: chunks of `size` pages of a file that a run before finished
+    are left out (with force the table is removed first). Returns the counters of the run: hits and suppressed."""
+    spark = pages.sparkSession
+    if force:
+        files.clear(spark, path)
+    done = files.read_pages(spark, path)
+    if done is not None:
+        left = stored(units.pending_chunks(files.chunks(pages, size), done.select("file", "start_page", "end_page").distinct()))
+        keep = lambda df: df.join(left.select("file", "start_page"), [df["file"] == left["file"], files.first_page(size=size) == left["start_page"]], "left_semi")
+        pages, cells = keep(pages), None if cells is None else keep(cells)
+    seen = Observation()
+    found = hits(pages, names, as_of, cells=cells, **settings).observe(seen, F.count(F.lit(1)).alias("hits"), F.coalesce(F.sum("suppressed"), F.lit(0)).alias("suppressed"))
+    files.write_scan(found, pages, units.page_problems(pages, cells), path, size)
+    return seen.get

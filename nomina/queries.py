@@ -244,7 +244,7 @@ def name_rollup(spark, sf_dir):
 
 
 def inverted_merge(spark, sf_dir):
-    return names.merge_inverted(_doc_hits(spark, sf_dir))
+    return names.merge_inverted(_doc_hits(spark, sf_dir)).select("name_key", "target")
 
 
 def duplicate_flags(spark, sf_dir):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from nomina.operators.units import page_problems
 from nomina.plans.scan import hits
-from nomina.sources.files import write_hits
+from nomina.sources.files import write_scan
 
 
 def scan_stream(pages: DataFrame, names: DataFrame, as_of: int, path: str, checkpoint: str, ambiguous: DataFrame | None = None) -> StreamingQuery:
@@ -14,6 +15,6 @@ def scan_stream(pages: DataFrame, names: DataFrame, as_of: int, path: str, check
     come in one batch (a file source's unit); progress is Structured Streaming's checkpoint, so a restart goes on."""
 
     def batch(df: DataFrame, _: int) -> None:
-        write_hits(hits(df, names, as_of, ambiguous), path)
+        write_scan(hits(df, names, as_of, ambiguous), df, page_problems(df), path, None)
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
