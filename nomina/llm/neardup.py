@@ -146,16 +146,27 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     id) are compared. In a bucket of a band all are checked against the bucket's smallest id; members that are then
     still in different components of one bucket are checked against each other, so no link between classes is lost.
     A null or wordless text has no shingles and stands alone; a row with a null id stands alone with null component_id
-    and kept true; rows with the same id count as one document of that id's first text. No rows: no rows."""
+    and kept true; rows with the same id are one document, that of the least of their texts (a null one is empty), and
+    each gives that document's row. No rows: no rows."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    again = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"))
+    if again.isEmpty():
+        return _groups(docs, width, percent)
+    many = docs.join(again, "doc_id", "left_semi")
+    found = _groups(docs.join(again, "doc_id", "left_anti").union(stored(many.groupBy("doc_id").agg(F.min("text")))), width, percent)
+    return found.join(again, "doc_id", "left_anti").union(many.select("doc_id").join(found, "doc_id"))
+
+
+def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """groups() of docs (doc_id, text) without nulls in text and in which no id but null repeats."""
     sketch = stored(docs.mapInArrow(lambda rows: _sketch(rows, width), "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary, low binary"))
     full = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
     buckets = stored(reps.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("key", "low"))
     members = stored(reps.join(buckets, "key").select("doc_id", "n", "key", "low"))
-    sigs = stored(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", F.col("low").alias("keys")).dropDuplicates(["doc_id"]))
-    own = stored(docs.join(members.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    sigs = stored(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", F.col("low").alias("keys")))
+    own = stored(docs.join(members.select("doc_id").distinct(), "doc_id"))
     near = members.filter("doc_id != low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
     links = _confirmed(_likely(near, sigs, percent), own, width, percent)
     comp = components(links)

@@ -89,6 +89,16 @@ def test_near_duplicates_against_brute_force(spark, width, percent):
     assert got == {i: find(i) for i in range(len(sets))}
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = "a " + prose(60), "b " + prose(60)
+    rows = [(1, b, "x"), (1, a, "y"), (1, b, "z"), (2, a, "x"), (3, b, "x"), (4, b, "x"), (4, None, "x"), (5, None, "x"), (5, None, "x"), (None, a, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    want = [(1, 57, 1, True)] * 3 + [(2, 57, 1, False), (3, 57, 3, True)] + [(4, 0, 4, True)] * 2 + [(5, 0, 5, True)] * 2 + [(None, 57, None, True)] * 2
+    for parts in (1, 5):
+        got = [tuple(r) for r in neardup.groups(df.repartition(parts)).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_superminhash_estimates():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(100, 1100, dtype=np.uint64)
     s = neardup.signatures(np.concatenate([a, b]), np.repeat([0, 1], 1000), 2, 512)
