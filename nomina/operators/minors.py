@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nomina import vocab
 from nomina.functions import text as T
 
+# Which ages, dates and labels count depends on each part of these patterns, so they are stated as they are.
 _AGE = r"(?:[0-9]|1[0-7])"
 MINOR_AGE = rf"(?iU)\b(?:age[d]?\s*:?\s*)?(?<!\d){_AGE}(?!\d)\s*(?:-|\s)?\s*(?:years?|yrs?|y\.?\s?o\.?|yo)\b(?:\s*old)?|\bage[d]?\s*:?\s*(?<!\d){_AGE}(?!\d)\b"
 ADULT_AGE = r"(?iU)\bage[d]?\s*:?\s*(?<!\d)(?:1[89]|[2-9]\d)(?!\d)\b|\b(?<!\d)(?:1[89]|[2-9]\d)(?!\d)\s*years?\s*old\b"

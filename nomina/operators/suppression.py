@@ -116,6 +116,7 @@ def org_detail(name: Column, ctx: Column | None = None, end: Column | None = Non
     return T.let(own, lambda o: T.let(after, lambda a: T.let(further(o, a), lambda m: with_more(o, a, m))))
 
 
+# Which words before a name and which codes near it count depends on each part of these patterns.
 _CUES = r"\b(" + "|".join(r"\s+".join(T._escape(w) for w in c.split()) for c in sorted(vocab.CLINICAL_CUES, key=len, reverse=True)) + r")\s*[:\-]?\s*(?:of\s+)?$"
 _ICD = r"(?<![A-Za-z0-9])[A-TV-Z]\d{2}(?:\.[0-9A-Za-z]{1,4})?(?![A-Za-z0-9])"
 

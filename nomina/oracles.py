@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from nomina import vocab
 
 _LINES = r"""lines AS (
@@ -116,13 +118,46 @@ def _signals() -> str:
       FROM (SELECT word, {_tokens("word")} AS toks FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM documents))"""
 
 
+def _any_of(x: str, terms) -> str:
+    """Whether x holds one of the terms on word boundaries (of Unicode, which \\b of RE2 isn't), any white space between
+    their words."""
+    other = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+    alt = "|".join(r"\s+".join(map(re.escape, t.split())) for t in terms)
+    return f"regexp_matches({x}, {_quoted(rf'(?i)(?:^|{other})(?:{alt})(?:$|{other})')})"
+
+
+def _flat(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '-{_SPACE}*\n{_SPACE}*', '', 'g'), '{_SPACE}+', ' ', 'g')"
+
+
+_FOLLOWER = r"[\p{L}\p{M}\p{Nl}][’\']?[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}’\'\-]*".replace("\\'", "''")
+#: Places of the first two words of a text: what stands between matches gives their offsets.
+_PLACES = rf"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '\w+\s+\w+') AS needle FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT *, regexp_extract(needle, '^\w+') || '{_SPACE}+' || regexp_extract(needle, '\w+$') AS pattern FROM d WHERE needle <> ''),
+  m AS (SELECT doc_id, regexp_extract_all(text, pattern) AS found, regexp_split_to_array(text, pattern) AS gaps FROM p),
+  l AS (SELECT doc_id, unnest(range(1, len(found) + 1)) AS i, list_transform(found, lambda x: length(x)) AS f, list_transform(gaps, lambda x: length(x)) AS g FROM m)
+  SELECT doc_id, (list_sum(g[1:i]) + coalesce(list_sum(f[1:i - 1]), 0))::INTEGER AS "start", (list_sum(g[1:i]) + list_sum(f[1:i]))::INTEGER AS "end" FROM l"""
+
+
 def oracle_sql(spans: list[tuple], pages: list[tuple], names: list[str]) -> dict[str, str]:
     """The fixtures: spans (unit_id, start, end, entity, score, recognizer), pages (file, page_num, text), names."""
     letter = r"regexp_matches(substr(line, {}, 1), '\p{{L}}')"
     cased = lambda f: f"CASE WHEN length({f}(substr(line, i, 1))) = 1 THEN {f}(substr(line, i, 1)) ELSE substr(line, i, 1) END"
     more = ", ".join(f"({_quoted(f)}, {n}, {' || chr(10) || '.join(_quoted(x) for x in t.split(chr(10)))})" for f, n, t in pages)
     zero = ["possible_minors", "minor_high", "minor_medium", "bound_by_column", "bound_by_label", "bound_by_dob", "bound_by_relation"]
+    after = rf"regexp_extract_all(regexp_extract({_flat('substr(line, e + 1, 80)')}, '^[^.!?;]*'), '{_FOLLOWER}')"
+    words = r"SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents"
     return {
+        "relocate_spans": _PLACES,
+        "context_boosts": f"""WITH {_LINES}, near AS (SELECT *, substr(line, greatest(s - 30, 0) + 1, e + 30 - greatest(s - 30, 0)) AS near FROM (SELECT *, length(line) // 2 AS s, length(line) // 2 + 5 AS e FROM lines))
+          SELECT doc_id, line_no, near, CASE WHEN {_any_of("near", vocab.CONTEXT_BOOST)} THEN {vocab.BOOST}::DOUBLE ELSE 0 END AS boost, CASE WHEN line = '' THEN '' ELSE array_to_string({after}, ',') END AS after FROM near""",
+        "boilerplate_words": f"SELECT word, len(b) = 0 OR {_in("array_to_string(b, ' ')", vocab.BOILERPLATE)} AS boilerplate FROM (SELECT word, {_bare('word')} AS b FROM ({words}))",
+        "header_roles": f"""SELECT word, CASE WHEN {_any_of("flat", vocab.ADULT_COLUMN)} THEN 'adult' WHEN {_any_of("flat", vocab.MINOR_COLUMN)} THEN 'minor' ELSE '' END AS role
+          FROM (SELECT word, {_flat("word")} AS flat FROM ({words} UNION ALL SELECT unnest(['Student name', 'PARENT', 'Teacher / Pupil', 'guardians', 'Child', 'minor' || chr(10) || 'children'])))""",
+        "variant_dedupe": f"""WITH {_LINES}, h AS (SELECT doc_id AS page_num, line_no AS seq, regexp_extract(lower({_NORM}), '^[^\\x20]+') AS name_key, line_no % 3 <> 0 AS is_variant FROM lines)
+          SELECT page_num, seq, name_key, is_variant FROM h WHERE NOT is_variant UNION ALL SELECT page_num, seq, name_key, is_variant FROM (
+          SELECT *, row_number() OVER (PARTITION BY page_num, name_key ORDER BY seq) AS n FROM h v WHERE is_variant
+          AND NOT EXISTS (SELECT 1 FROM h o WHERE NOT o.is_variant AND o.page_num = v.page_num AND o.name_key = v.name_key)) WHERE n = 1""",
         "titlecase_lines": f"""WITH {_LINES} SELECT doc_id, line_no, array_to_string(list_transform(range(1, length(line) + 1), lambda i: CASE WHEN NOT {letter.format("i")} THEN substr(line, i, 1)
           WHEN i > 1 AND {letter.format("i - 1")} THEN {cased("lower")} ELSE {cased("upper")} END), '') AS line FROM lines WHERE {_UPPER}""",
         "garbage_signals": _signals(),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nomina.functions import text as T
-from nomina.operators import names, report, scoring, spans, suppression, units
+from nomina.operators import minors, names, report, scoring, spans, suppression, units
 from nomina.oracles import oracle_sql
 from nomina.plans import scan
 from nomina.sources import files
@@ -227,6 +227,31 @@ def relocate_spans(spark, sf_dir):
     return words.select("doc_id", F.explode(spans.locate_all("text", "needle")).alias("p")).select("doc_id", "p.start", "p.end")
 
 
+def context_boosts(spark, sf_dir):
+    """Five characters in the middle of each line as a span: its surroundings, the boost, the words after it."""
+    rows = _lines(spark, sf_dir).withColumn("s", F.shiftright(F.length("line"), 1)).withColumn("e", F.col("s") + 5)
+    at = F.col("line"), F.col("s"), F.col("e")
+    after = F.array_join(suppression.tokens_after(F.col("line"), F.col("e"), 80), ",")
+    return rows.select("doc_id", "line_no", T.window(*at, 30, 30).alias("near"), scoring.context_boost(*at).alias("boost"), after.alias("after"))
+
+
+def boilerplate_words(spark, sf_dir):
+    return _words_of(spark, sf_dir).select("word", T.boilerplate_only(F.col("word")).alias("boilerplate"))
+
+
+def header_roles(spark, sf_dir):
+    """The role of a column headed by each word of the documents, and of some that have one."""
+    heads = spark.createDataFrame([("Student name",), ("PARENT",), ("Teacher / Pupil",), ("guardians",), ("Child",), ("minor\nchildren",)], "word string")
+    return _words_of(spark, sf_dir).union(heads).select("word", minors.column_role(F.col("word")).alias("role"))
+
+
+def variant_dedupe(spark, sf_dir):
+    """Lines as hits named by their first word; every third is an original, the others are variants."""
+    key = F.regexp_extract(T.dedup_key(F.col("line")), r"^[^\x20]+", 0)
+    hits = _lines(spark, sf_dir).select(F.lit("documents").alias("file"), F.col("doc_id").alias("page_num"), F.col("line_no").alias("seq"), key.alias("name_key"), (F.col("line_no") % 3 != 0).alias("is_variant"))
+    return units.first_variants(hits).select("page_num", "seq", "name_key", "is_variant")
+
+
 def _doc_hits(spark, sf_dir):
     """Each line as a hit, so that the roll-up sees real rows: seq, file, page_num and fixed scores."""
     rows = _lines(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -294,7 +319,7 @@ _ALL = [
     norm_name, context_normalize, page_garbage, uppercase_lines, titlecase_lines, csv_safe, page_ranges, page_lists, garbage_signals, latin_words, shape_scores, sanitize_surface, flipped_names,
     prose_flipped_units, page_problems, cell_units, column_roles, gazetteer_runs, gazetteer_tokens, ambiguous_demotion, denylist_all_tokens, suppress_verdict, org_rules, minor_bindings,
     overlap_resolve, suppressor_overlap, resume_antijoin, relocate_spans, name_rollup, inverted_merge, duplicate_flags, ngram_counts, ngram_scores, ngram_thresholds, name_report, fixture_report, suppressed_rows,
-    manifest_totals, file_stats,
+    manifest_totals, file_stats, context_boosts, boilerplate_words, header_roles, variant_dedupe,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = oracle_sql(SPANS, PAGES, [n for n, _, _ in SUPPRESS])
