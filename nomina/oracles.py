@@ -10,13 +10,13 @@ _LINES = r"""lines AS (
   SELECT doc_id, (i - 1)::INTEGER AS line_no, regexp_replace(regexp_replace(t[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS line
   FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents))
 )"""
-_NORM = r"trim(trim(regexp_replace(line, '\s+', ' ', 'g')), '.,;:()[]" + '"' + "''')"
 _UPPER = r"""length(regexp_replace(line, '\P{L}', '', 'g')) >= 6 AND len(list_filter(regexp_extract_all(line, '\S+'), lambda w: regexp_matches(w, '\p{L}'))) >= 2
   AND length(regexp_replace(line, '\P{Lu}', '', 'g'))::DOUBLE / length(regexp_replace(line, '\P{L}', '', 'g')) >= 0.75"""
 
 
 #: White space with the Unicode property, for RE2.
 _SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NORM = rf"trim(trim(regexp_replace(line, '{_SPACE}+', ' ', 'g')), '.,;:()[]" + '"' + "''')"
 #: A name's token: a letter or mark, then word characters, apostrophes, periods and hyphens.
 _TOKEN = r"[\p{L}\p{M}\p{Nl}][\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\'’.\-]*".replace("\\'", "''")
 
@@ -139,8 +139,42 @@ _PLACES = rf"""WITH d AS (SELECT doc_id, text, regexp_extract(text, '\w+\s+\w+')
   SELECT doc_id, (list_sum(g[1:i]) + coalesce(list_sum(f[1:i - 1]), 0))::INTEGER AS "start", (list_sum(g[1:i]) + list_sum(f[1:i]))::INTEGER AS "end" FROM l"""
 
 
-def oracle_sql(spans: list[tuple], pages: list[tuple], names: list[str]) -> dict[str, str]:
-    """The fixtures: spans (unit_id, start, end, entity, score, recognizer), pages (file, page_num, text), names."""
+def _sanitized() -> str:
+    """Lines without debris at the ends of their tokens and without leading phrases: one phrase a round of the recursion."""
+    debris, kept = r"[\p{P}\p{Sc}\p{So}\p{Sk}\p{Co}\p{Cf}<>|^~=+$]+", r"[ ''’‘`\-‐‑–.,]"
+    masked = f"regexp_replace(w, '{kept}', 'a', 'g')"
+    low, high = f"length(regexp_extract({masked}, '^{debris}'))", f"length(regexp_extract({masked}, '{debris}$'))"
+    clean = f"trim(substr(w, {low} + 1, greatest(length(w) - {low} - {high}, 0)), {_quoted(vocab.STRIP + ' ')})"
+    probe = lambda k: f"array_to_string(list_transform(t[1:{k}], lambda x: trim(lower(x), {_quoted(vocab.STRIP)})), ' ')"
+
+    def longest(phrases) -> str:
+        of = {k: [p for p in phrases if len(p.split()) == k] for k in (4, 3, 2, 1)}
+        n = "(CASE " + " ".join(f"WHEN len(t) >= {k} AND {_in(probe(k), ps)} THEN {k}" for k, ps in of.items() if ps) + " ELSE 0 END)"
+        return f"CASE WHEN {n} > 0 AND {n} < len(t) THEN {n} END"
+
+    cut = f"coalesce({', '.join(longest(p) for p in (vocab.SALUTATIONS, vocab.VALEDICTIONS, vocab.HONORIFICS))}, 0)"
+    return f"""WITH RECURSIVE {_LINES}, rounds(doc_id, line_no, t) AS (
+      SELECT doc_id, line_no, list_filter(list_transform({_tokens("line")}, lambda w: {clean}), lambda w: w <> '') FROM lines
+      UNION ALL SELECT doc_id, line_no, t[n + 1:] FROM (SELECT *, {cut} AS n FROM rounds) WHERE n > 0)
+      SELECT doc_id, line_no, array_to_string(arg_min(t, len(t)), ' ') AS name FROM rounds GROUP BY doc_id, line_no"""
+
+
+def _role(x: str) -> str:
+    return f"CASE WHEN {_any_of(x, vocab.ADULT_COLUMN)} THEN 'adult' WHEN {_any_of(x, vocab.MINOR_COLUMN)} THEN 'minor' ELSE '' END"
+
+
+def _columns(cells: list[tuple]) -> str:
+    """CTEs cells and facts, a row for each column of a table."""
+    rows = ", ".join("(" + ", ".join(_quoted(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in cells)
+    return f"""cells AS (SELECT * FROM (VALUES {rows}) v(file, page_num, table_id, r, c, cell)),
+      heads AS (SELECT file, page_num, table_id, c, {_flat("max(CASE WHEN r = 0 THEN cell ELSE '' END)")} AS header, count(*) FILTER (r > 0 AND flipped IS NOT NULL) AS shaped
+      FROM {_flips("cells", "cell")} GROUP BY ALL),
+      facts AS (SELECT file, page_num, table_id, c, {_role("header")} AS col_role, {_any_of("header", vocab.NAME_COLUMN)} OR shaped >= 2 AS is_name_column FROM heads)"""
+
+
+def oracle_sql(spans: list[tuple], pages: list[tuple], names: list[str], cells: list[tuple]) -> dict[str, str]:
+    """The fixtures: spans (unit_id, start, end, entity, score, recognizer), pages (file, page_num, text), names, cells
+    (file, page_num, table_id, r, c, cell)."""
     letter = r"regexp_matches(substr(line, {}, 1), '\p{{L}}')"
     cased = lambda f: f"CASE WHEN length({f}(substr(line, i, 1))) = 1 THEN {f}(substr(line, i, 1)) ELSE substr(line, i, 1) END"
     more = ", ".join(f"({_quoted(f)}, {n}, {' || chr(10) || '.join(_quoted(x) for x in t.split(chr(10)))})" for f, n, t in pages)
@@ -149,10 +183,17 @@ def oracle_sql(spans: list[tuple], pages: list[tuple], names: list[str]) -> dict
     words = r"SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents"
     return {
         "relocate_spans": _PLACES,
+        "sanitize_surface": _sanitized(),
+        "column_roles": f"WITH {_columns(cells)} SELECT * FROM facts",
+        "cell_units": f"""WITH {_columns(cells)}, t AS (SELECT file, page_num, trim(regexp_replace(cell, '{_SPACE}*\\n{_SPACE}*', ' ', 'g')) AS t, CASE WHEN r = 0 THEN '' ELSE col_role END AS col_role, is_name_column
+          FROM cells JOIN facts USING (file, page_num, table_id, c)), f AS (SELECT * FROM {_flips("t", "t")} WHERE t <> '')
+          SELECT file, page_num, 'cell' AS kind, t AS analysis_text, t AS source_text, col_role FROM f
+          UNION ALL SELECT file, page_num, 'flipped', flipped, t, col_role FROM f WHERE is_name_column AND flipped <> t""",
+        "garbage_verdicts": f"""SELECT word, CASE WHEN signals IN ('no_letters', 'interior_garbage_char') OR contains(signals, ',') THEN signals ELSE '' END AS detail FROM ({_signals()})""",
         "context_boosts": f"""WITH {_LINES}, near AS (SELECT *, substr(line, greatest(s - 30, 0) + 1, e + 30 - greatest(s - 30, 0)) AS near FROM (SELECT *, length(line) // 2 AS s, length(line) // 2 + 5 AS e FROM lines))
           SELECT doc_id, line_no, near, CASE WHEN {_any_of("near", vocab.CONTEXT_BOOST)} THEN {vocab.BOOST}::DOUBLE ELSE 0 END AS boost, CASE WHEN line = '' THEN '' ELSE array_to_string({after}, ',') END AS after FROM near""",
         "boilerplate_words": f"SELECT word, len(b) = 0 OR {_in("array_to_string(b, ' ')", vocab.BOILERPLATE)} AS boilerplate FROM (SELECT word, {_bare('word')} AS b FROM ({words}))",
-        "header_roles": f"""SELECT word, CASE WHEN {_any_of("flat", vocab.ADULT_COLUMN)} THEN 'adult' WHEN {_any_of("flat", vocab.MINOR_COLUMN)} THEN 'minor' ELSE '' END AS role
+        "header_roles": f"""SELECT word, {_role("flat")} AS role
           FROM (SELECT word, {_flat("word")} AS flat FROM ({words} UNION ALL SELECT unnest(['Student name', 'PARENT', 'Teacher / Pupil', 'guardians', 'Child', 'minor' || chr(10) || 'children'])))""",
         "variant_dedupe": f"""WITH {_LINES}, h AS (SELECT doc_id AS page_num, line_no AS seq, regexp_extract(lower({_NORM}), '^[^\\x20]+') AS name_key, line_no % 3 <> 0 AS is_variant FROM lines)
           SELECT page_num, seq, name_key, is_variant FROM h WHERE NOT is_variant UNION ALL SELECT page_num, seq, name_key, is_variant FROM (

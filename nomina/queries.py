@@ -126,6 +126,10 @@ def garbage_signals(spark, sf_dir):
     return _words_of(spark, sf_dir).select("word", F.array_join(suppression.garbage_signals(F.col("word")), ",").alias("signals"))
 
 
+def garbage_verdicts(spark, sf_dir):
+    return _words_of(spark, sf_dir).select("word", suppression.garbage_detail(F.col("word")).alias("detail"))
+
+
 def latin_words(spark, sf_dir):
     return _words_of(spark, sf_dir).select("word", T.is_latin(F.col("word")).alias("latin"))
 
@@ -319,7 +323,7 @@ _ALL = [
     norm_name, context_normalize, page_garbage, uppercase_lines, titlecase_lines, csv_safe, page_ranges, page_lists, garbage_signals, latin_words, shape_scores, sanitize_surface, flipped_names,
     prose_flipped_units, page_problems, cell_units, column_roles, gazetteer_runs, gazetteer_tokens, ambiguous_demotion, denylist_all_tokens, suppress_verdict, org_rules, minor_bindings,
     overlap_resolve, suppressor_overlap, resume_antijoin, relocate_spans, name_rollup, inverted_merge, duplicate_flags, ngram_counts, ngram_scores, ngram_thresholds, name_report, fixture_report, suppressed_rows,
-    manifest_totals, file_stats, context_boosts, boilerplate_words, header_roles, variant_dedupe,
+    manifest_totals, file_stats, context_boosts, boilerplate_words, header_roles, variant_dedupe, garbage_verdicts,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = oracle_sql(SPANS, PAGES, [n for n, _, _ in SUPPRESS])
+ORACLE_SQL = oracle_sql(SPANS, PAGES, [n for n, _, _ in SUPPRESS], CELLS)

@@ -34,6 +34,15 @@ def test_lines_of_any_length(spark, tmp_path):
     assert got["inverted_merge"].count() == 4 and got["manifest_totals"].collect()[0]["names"] == 4
 
 
+@pytest.mark.parametrize("name", ["sanitize_surface", "context_boosts", "garbage_verdicts", "garbage_signals", "variant_dedupe", "relocate_spans", "boilerplate_words", "norm_name", "flipped_names", "titlecase_lines", "shape_scores"])
+def test_odd_lines_against_sql(spark, tmp_path, name):
+    lines = ["Dear Mr. John Smith", "Good morning, Dr. Lee", "To whom it may concern Ann Lee", "Hello Hello Dear Ms. O'Neil-Roe", "Mr.", "Dear Hello", "†¶Ann| Lee†", "{}|", "", "   ", "Sincerely, Al Roe"]
+    lines += ["Lee, Ann", "Lee Smith, Ann Jr.", "Student, Parent", "X Lee, the guardian  ad litem, came; then left", "ÉCOLE ÉTÉ ÑANDÚ", "his coachés ran", "a next\u00a0friend of Ann. Bo", "J0hn Smiiith bcdfghjk", "Ann Lee\tAnn  Lee Ann Lee"]
+    texts = [(i, "\n".join(lines[i:] + lines[:i]), "s") for i in range(len(lines))] + [(50, None, "s"), (51, "", None), (52, "\n\n", "s")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    assert of_spark(Q.QUERIES[name](spark, str(tmp_path))) == of_sql(Q.ORACLE_SQL[name], str(tmp_path))
+
+
 def test_works_without_llm():
     code = "import sys; sys.modules['corpus_pipeline'] = None\ntry:\n    import corpus_pipeline\nexcept ModuleNotFoundError as e:\n    assert e.name == 'corpus_pipeline'\nimport __spark_entry__ as e; assert e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=60)
