@@ -159,6 +159,26 @@ def _sanitized() -> str:
       SELECT doc_id, line_no, array_to_string(arg_min(t, len(t)), ' ') AS name FROM rounds GROUP BY doc_id, line_no"""
 
 
+def _runs(common: list[str]) -> str:
+    """Dictionary spans of units (unit_id, text) for CTEs units and dictionary (token); common tokens alone don't count."""
+    word = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}''’.\-]*"
+    name = rf"\p{{Lu}}{word}"
+    # runs of capitalised tokens, other words, and what stands between words: together the whole text
+    cut = rf"{name}(?:[ \t]*{name})*|[\p{{L}}\p{{M}}\p{{Nl}}]{word}|[^\p{{L}}\p{{M}}\p{{Nl}}]"
+    listed = " OR ".join([_in("form", common)] if common else ["false"])
+    each = lambda found: f"unnest({found}) AS w, unnest(range(1, len({found}) + 1))"
+    pieces, tokens = f"regexp_extract_all(text, '{cut}')", rf"regexp_extract_all(piece, '{name}[ \t]*')"
+    return rf"""pieces AS (SELECT unit_id, w AS piece, i, sum(length(w)) OVER (PARTITION BY unit_id ORDER BY i) - length(w) AS place FROM (SELECT unit_id, {each(pieces)} AS i FROM units)),
+      tokens AS (SELECT unit_id, i, j, rtrim(w, ' ' || chr(9)) AS token, place + sum(length(w)) OVER (PARTITION BY unit_id, i ORDER BY j) - length(w) AS s
+        FROM (SELECT unit_id, i, place, {each(tokens)} AS j FROM pieces WHERE regexp_matches(piece, '^\p{{Lu}}'))),
+      ended AS (SELECT *, (token LIKE '%.' AND length(regexp_replace(token, '\P{{L}}', '', 'g')) >= 3)::INTEGER AS stop FROM tokens),
+      run AS (SELECT *, sum(stop) OVER (PARTITION BY unit_id, i ORDER BY j) - stop AS k, trim(lower(strip_accents(token)), '.,;:''’"()[]') AS norm FROM ended),
+      forms AS (SELECT *, unnest(list_distinct(list_concat([norm], list_filter(string_split(norm, '-'), lambda f: f <> '')))) AS form FROM run),
+      judged AS (SELECT unit_id, i, k, s, any_value(length(token)) AS n, bool_or(form IN (SELECT token FROM dictionary)) AS hit, bool_or({listed}) AS common FROM forms GROUP BY unit_id, i, k, s)
+      SELECT unit_id, min(s)::INTEGER AS "start", max(s + n)::INTEGER AS "end", 'PERSON' AS entity, {vocab.DICTIONARY_SCORE}::DOUBLE AS score, 'gazetteer' AS recognizer
+      FROM judged GROUP BY unit_id, i, k HAVING count(*) >= 2 AND count(*) FILTER (hit) >= 2 AND count(*) FILTER (hit AND NOT common) > 0"""
+
+
 def _role(x: str) -> str:
     return f"CASE WHEN {_any_of(x, vocab.ADULT_COLUMN)} THEN 'adult' WHEN {_any_of(x, vocab.MINOR_COLUMN)} THEN 'minor' ELSE '' END"
 
@@ -172,9 +192,9 @@ def _columns(cells: list[tuple]) -> str:
       facts AS (SELECT file, page_num, table_id, c, {_role("header")} AS col_role, {_any_of("header", vocab.NAME_COLUMN)} OR shaped >= 2 AS is_name_column FROM heads)"""
 
 
-def oracle_sql(spans: list[tuple], pages: list[tuple], names: list[str], cells: list[tuple]) -> dict[str, str]:
+def oracle_sql(spans: list[tuple], pages: list[tuple], names: list[str], cells: list[tuple], people: list[str], common: list[str]) -> dict[str, str]:
     """The fixtures: spans (unit_id, start, end, entity, score, recognizer), pages (file, page_num, text), names, cells
-    (file, page_num, table_id, r, c, cell)."""
+    (file, page_num, table_id, r, c, cell), dictionary tokens and the common ones of these."""
     letter = r"regexp_matches(substr(line, {}, 1), '\p{{L}}')"
     cased = lambda f: f"CASE WHEN length({f}(substr(line, i, 1))) = 1 THEN {f}(substr(line, i, 1)) ELSE substr(line, i, 1) END"
     more = ", ".join(f"({_quoted(f)}, {n}, {' || chr(10) || '.join(_quoted(x) for x in t.split(chr(10)))})" for f, n, t in pages)
@@ -184,6 +204,8 @@ def oracle_sql(spans: list[tuple], pages: list[tuple], names: list[str], cells:
     return {
         "relocate_spans": _PLACES,
         "sanitize_surface": _sanitized(),
+        "gazetteer_runs": f"WITH {_DICTIONARY}, units AS (SELECT doc_id AS unit_id, text FROM documents WHERE text IS NOT NULL), {_runs([])}",
+        "ambiguous_demotion": f"WITH dictionary AS (SELECT unnest([{', '.join(map(_quoted, people))}]) AS token), units AS (SELECT file || ':' || page_num AS unit_id, text FROM (VALUES {more}) v(file, page_num, text)), {_runs(common)}",
         "column_roles": f"WITH {_columns(cells)} SELECT * FROM facts",
         "cell_units": f"""WITH {_columns(cells)}, t AS (SELECT file, page_num, trim(regexp_replace(cell, '{_SPACE}*\\n{_SPACE}*', ' ', 'g')) AS t, CASE WHEN r = 0 THEN '' ELSE col_role END AS col_role, is_name_column
           FROM cells JOIN facts USING (file, page_num, table_id, c)), f AS (SELECT * FROM {_flips("t", "t")} WHERE t <> '')

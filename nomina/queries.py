@@ -326,4 +326,4 @@ _ALL = [
     manifest_totals, file_stats, context_boosts, boilerplate_words, header_roles, variant_dedupe, garbage_verdicts,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = oracle_sql(SPANS, PAGES, [n for n, _, _ in SUPPRESS], CELLS)
+ORACLE_SQL = oracle_sql(SPANS, PAGES, [n for n, _, _ in SUPPRESS], CELLS, PEOPLE, COMMON)

@@ -34,7 +34,7 @@ def test_lines_of_any_length(spark, tmp_path):
     assert got["inverted_merge"].count() == 4 and got["manifest_totals"].collect()[0]["names"] == 4
 
 
-@pytest.mark.parametrize("name", ["sanitize_surface", "context_boosts", "garbage_verdicts", "garbage_signals", "variant_dedupe", "relocate_spans", "boilerplate_words", "norm_name", "flipped_names", "titlecase_lines", "shape_scores"])
+@pytest.mark.parametrize("name", ["sanitize_surface", "context_boosts", "garbage_verdicts", "garbage_signals", "variant_dedupe", "relocate_spans", "boilerplate_words", "norm_name", "gazetteer_runs", "flipped_names", "titlecase_lines", "shape_scores"])
 def test_odd_lines_against_sql(spark, tmp_path, name):
     lines = ["Dear Mr. John Smith", "Good morning, Dr. Lee", "To whom it may concern Ann Lee", "Hello Hello Dear Ms. O'Neil-Roe", "Mr.", "Dear Hello", "†¶Ann| Lee†", "{}|", "", "   ", "Sincerely, Al Roe"]
     lines += ["Lee, Ann", "Lee Smith, Ann Jr.", "Student, Parent", "X Lee, the guardian  ad litem, came; then left", "ÉCOLE ÉTÉ ÑANDÚ", "his coachés ran", "a next\u00a0friend of Ann. Bo", "J0hn Smiiith bcdfghjk", "Ann Lee\tAnn  Lee Ann Lee"]
