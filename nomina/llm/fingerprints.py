@@ -36,9 +36,16 @@ def resemblance(a: Column, b: Column, k: int = K) -> Column:
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated part of a's shingles that b has: the common ones among the union's over a's among them; 1 for an empty a."""
+    """Estimated part of a's shingles that b has: the common ones among the union's over a's among them; 1 for an empty a.
+
+    Null where the union's sketch holds none of a's (few shingles beside many): the two sketches then tell nothing."""
     u = merge(a, b, k)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(_both(a, b, k) / F.size(F.array_intersect(u, a)).cast("double"))
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(_both(a, b, k) / F.nullif(F.size(F.array_intersect(u, a)), F.lit(0)).cast("double"))
+
+
+def containment_in(a: Column, text: Column, width: int = WIDTH) -> Column:
+    """Part of the hashes of a sketch with any that a whole text's shingles have: exact if the sketch holds all shingles."""
+    return F.size(F.array_intersect(a, sketch(text, 2**31 - 1, width))) / F.size(a).cast("double")
 
 
 def _both(a: Column, b: Column, k: int) -> Column:
@@ -111,7 +118,7 @@ def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_by_edit"),
+        F.coalesce(containment(F.col("sketch"), F.col("edited_sketch")), containment_in(F.col("sketch"), F.col("edited"))).alias("kept_by_edit"),
         distinct_shingles(F.col("sketch")).alias("n_distinct"),
         distinct_shingles(merge(F.col("sketch"), F.col("next_sketch"))).alias("n_distinct_with_next"),
     )
