@@ -110,3 +110,23 @@ def test_duplicate_pairs_against_brute_force(spark, threshold):
     want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if indel_ratio(form[a], form[b]) >= threshold}
     got = names.duplicate_pairs(spark.createDataFrame([(k,) for k in keys], "name_key string"), threshold).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_duplicate_classes_against_brute_force(spark):
+    draw = random.Random(5)
+    keys = {f"supplier#{i:09d}" for i in range(150)} | {f"customer {draw.randint(0, 99999):05d} {c}" for c in "abcdefgh"}
+    keys |= {"".join(draw.choice("abc ") for _ in range(draw.randint(1, 8))) for _ in range(80)} | {"john smith", "smith john", "jon smith", "amara osei", "é" * 70, "é" * 66 + "xy", "b" * 64, "b" * 60, " ", ""}
+    keys = sorted({" ".join(k.split()) for k in keys} - {""})
+    form = {k: " ".join(sorted(k.split())) for k in keys}
+    for threshold, block in ((88.0, 40), (70.0, 1000), (97.0, 16)):
+        near = {a: {b for b in keys if b != a and indel_ratio(form[a], form[b]) >= threshold} for a in keys}
+        want = {}
+        for k in keys:  # ascending: the first to reach a key is its least
+            todo = [k]
+            while todo:
+                if (x := todo.pop()) not in want:
+                    want[x] = (k, len(near[x]))
+                    todo += near[x]
+        rows = spark.createDataFrame([(k,) for k in [*keys, *keys[:40], ""]], "name_key string")
+        got = names.duplicate_classes(rows, threshold, block).collect()
+        assert len(got) == len(keys) and {r.name_key: (r.class_id, r.n_links) for r in got} == want
