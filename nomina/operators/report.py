@@ -22,7 +22,7 @@ COLUMNS = [
 def name_table(hits: DataFrame) -> DataFrame:
     """Names after inverted ones were folded into their plain form."""
     to = merge_inverted(hits).select(F.col("name_key").alias("_k"), "target", F.when(F.col("target") != F.col("name_key"), F.col("display")).alias("_form"))
-    keyed = hits.withColumn("_k", T.dedup_key(F.col("raw_name"))).join(to, "_k")
+    keyed = hits.withColumn("_k", T.dedup_key(F.col("raw_name"))).join(to.hint("merge"), "_k")
     return roll_up(keyed.drop("_k"), F.col("target"), F.col("_form"))
 
 
@@ -30,7 +30,7 @@ def report_rows(hits: DataFrame, certain: float = vocab.CERTAIN, light: float =
     """The 17 columns for every name, held-back ones too; tier rank and key are kept for the order."""
     names = stored(name_table(hits))  # read by both sides of the duplicate pairs
     if fuzzy is not None:
-        names = names.join(duplicate_flags(names.select("name_key", "display"), fuzzy), "name_key", "left")
+        names = names.join(duplicate_flags(names.select("name_key", "display"), fuzzy).hint("merge"), "name_key", "left")
     else:
         names = names.withColumn("possible_duplicates", F.lit(None).cast("array<string>"))
     fraction = F.col("suppressed_count") / F.col("occurrence_count")
